@@ -141,3 +141,18 @@ def shingle_hashes(texts, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def chunks(b, column: str = "text", limit: int = 3_000_000):
+    """Row slices of a pandas frame whose texts have about ``limit`` characters together; a longer text stands alone."""
+    size = np.fromiter((len(t) if isinstance(t, (str, bytes)) else 0 for t in b[column]), dtype=np.int64, count=len(b))
+    part = np.cumsum(size) // limit
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(b)]))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if j > i:
+            yield b.iloc[i:j]
+
+
+def fixed_order_bound(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``limit`` rows, else joined by a shuffle."""
+    return F.broadcast(df) if rows <= limit else df
