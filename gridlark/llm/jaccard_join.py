@@ -1,13 +1,14 @@
 """N-gram Jaccard self join with a token-group matrix.
 
 A text's tokens are the hashes of its runs of ``k`` words.  Texts with equal token sets are one set.  Similar sets are
-partitioned into groups by a minimum hash.  In a common order of all tokens (rare ones first) two sets that are similar
-enough must share one of the first ``n - ceil(t * n) + 1`` tokens of each; the matrix stores for each group the union
-of its sets' such tokens, with the range of their sizes, so overlap of a query with a group is bounded from above: by
-zero where it has none of the union's tokens, and by the sizes.  Only pairs of groups whose bound allows a link are
-opened.  In an opened group all sets are first held against one leader, and those that link with it are connected;
-the others are held against all, in blocks.  Links are verified on whole token sets, so none is lost or invented, and
-connected components are built from them.  No links are listed between sets that are known to be connected.
+partitioned into groups: by a minimum hash first, then each is held against the leader of its hash, and those that link
+with it are its group, while any other is a group of its own.  In a common order of all tokens (rare ones first) two
+sets that are similar enough must share one of the first ``n - ceil(t * n) + 1`` tokens of each; the matrix stores for
+each group the union of its sets' such tokens, with the range of their sizes, so the overlap of a query with a group is
+bounded from above: by zero where it has none of the union's tokens, and by the sizes.  Only pairs of groups whose
+bound allows a link are opened, in blocks: a large group's sets against chunks of all sets that ask for it.  Links are
+verified on whole token sets, so none is lost or invented, and connected components are built from them.  No links are
+listed between sets that are known to be connected.
 
 The order of tokens puts those of many documents last; it is counted over all documents, and only the most frequent
 (``max_frequent`` at most, the bound of what is broadcast) take part in it.  It decides speed, not the result.
@@ -107,7 +108,8 @@ def frequent_tokens(docs: DataFrame, k: int, bits: int, max_frequent: int) -> np
 
 
 def _features(k: int, percent: int, bits: int, shared):
-    """Rows of kind 0: one a document; of kind 1: for a bucket of tokens, which groups have them among their first."""
+    """For each document its size, the hash of its set, a minimum hash and the order keys of its first tokens."""
+    width = _key_bytes(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rare_last = shared.value
@@ -125,33 +127,55 @@ def _features(k: int, percent: int, bits: int, shared):
                 for i, s in enumerate(sets):
                     n = len(s)
                     sigs.append(hashlib.md5(s.tobytes()).hexdigest())
-                    if not n:
-                        prefixes.append(s)
-                        continue
                     o = often[begin[i] : begin[i + 1]]
                     g = other[begin[i] : begin[i + 1]]
-                    common = int(o.sum())
-                    gkeys[i] = (g[o] if 2 * common >= n else g).min().astype(np.int64)
-                    spare[i] = n - 2 * common
+                    own = key[begin[i] : begin[i + 1]]
                     p = n - -(-n * percent // 100) + 1
-                    rare = s[~o][:p]
-                    prefixes.append(rare if len(rare) == p else np.concatenate([rare, s[o][: p - len(rare)]]))
-                yield pd.DataFrame({"kind": 0, "doc_id": part["doc_id"].astype("Int64"), "n": lens, "sig": sigs, "gkey": gkeys, "spare": spare, "bucket": None, "tokens": None, "places": None, "gkeys": None, "sizes": None})
-                first = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
-                doc = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
-                order = np.argsort(first, kind="stable")
-                first, doc = first[order], doc[order]
+                    first = own[~o][:p]
+                    if len(first) < p:
+                        first = np.sort(np.concatenate([first, own[o][: p - len(first)]]))
+                    prefixes.append(first.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+                    if n:
+                        common = int(o.sum())
+                        gkeys[i] = (g[o] if 2 * common >= n else g).min().astype(np.int64)
+                        spare[i] = n - 2 * common
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": lens, "sig": sigs, "gkey": gkeys, "spare": spare, "prefix": prefixes})
+
+    return run
+
+
+_FEATURES = "doc_id bigint, n bigint, sig string, gkey bigint, spare bigint, prefix binary"
+
+
+def _key_bytes(bits: int) -> int:
+    return (bits + 39) // 8
+
+
+def _matrix(bits: int):
+    """Rows of sets (cluster, n, prefix) to rows of the matrix: for a bucket of tokens, which clusters have them."""
+    width = _key_bytes(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in chunks(batch, "prefix", 4_000_000):
+                raw = np.frombuffer(b"".join(part["prefix"]), np.uint8).reshape(-1, width)
+                keys = np.zeros((len(raw), 8), np.uint8)
+                keys[:, :width] = raw
+                keys = keys.view(np.uint64).ravel()
+                doc = np.repeat(np.arange(len(part)), part["prefix"].str.len().to_numpy() // width)
+                order = np.argsort(keys, kind="stable")
+                keys, doc = keys[order], doc[order]
+                cluster, n = part["cluster"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
                 rows = []
-                for b, s in _by_bucket(first, bits):
+                for b, s in _by_bucket(keys << U(32 - bits), bits):
                     used, local = np.unique(doc[s], return_inverse=True)
-                    rows.append((b, first[s].tobytes(), local.astype(np.uint32).tobytes(), gkeys[used].tobytes(), lens[used].astype(np.int64).tobytes()))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["bucket", "tokens", "places", "gkeys", "sizes"]).assign(kind=1, doc_id=pd.Series([None] * len(rows), dtype="Int64"), n=0, sig=None, gkey=0, spare=0)
+                    rows.append((b, (keys[s] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), cluster[used].tobytes(), n[used].tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "tokens", "places", "clusters", "sizes"])
 
     return run
 
 
-_FEATURES = "kind int, doc_id bigint, n bigint, sig string, gkey bigint, spare bigint, bucket int, tokens binary, places binary, gkeys binary, sizes binary"
+_MATRIX = "bucket int, tokens binary, places binary, clusters binary, sizes binary"
 
 
 def _group_pairs(percent: int):
@@ -159,9 +183,10 @@ def _group_pairs(percent: int):
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         tokens, groups, sizes = [], [], []
-        for t, i, g, n in zip(p["tokens"], p["places"], p["gkeys"], p["sizes"], strict=True):
-            i = np.frombuffer(i, np.uint32)
-            tokens.append(np.frombuffer(t, np.uint64))
+        for t, i, g, n in zip(p["tokens"], p["places"], p["clusters"], p["sizes"], strict=True):
+            t = np.frombuffer(t, np.uint32)
+            i = np.frombuffer(i, np.uint16 if len(i) == 2 * len(t) else np.uint32)
+            tokens.append(t)
             groups.append(np.frombuffer(g, np.int64)[i])
             sizes.append(np.frombuffer(n, np.int64)[i])
         t, g, n = np.concatenate(tokens), np.concatenate(groups), np.concatenate(sizes)
@@ -206,7 +231,7 @@ def _star(percent: int):
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
                 ok.append(bool(_linked(int((b[at] == a).sum()), len(a), len(b), percent)))
-            yield p[["rep", "leader", "gkey"]].assign(core=ok)
+            yield p[["rep", "leader"]].assign(core=ok)
 
     return run
 
@@ -287,46 +312,54 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     bits = _bits(n_docs)
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, k, bits, max_frequent))
     feats = cut(docs.mapInPandas(_features(k, percent, bits, shared), _FEATURES))
-    each = feats.where("kind = 0")
-    reps = cut(each.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("spare").alias("spare")))
-    matrix = feats.where("kind = 1").select("bucket", "tokens", "places", "gkeys", "sizes")
-    pairs = cut(matrix.groupBy("bucket").applyInPandas(_group_pairs(percent), "a bigint, b bigint").distinct())
+    each = feats.select("doc_id", "n", "sig")
+    least = F.min(F.struct("doc_id", "n", "gkey", "spare", "prefix"))
+    reps = cut(feats.where("n > 0").groupBy("sig").agg(least.alias("r")).select("sig", F.col("r.doc_id").alias("rep"), "r.n", "r.gkey", "r.spare", "r.prefix"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """``wanted`` (rep, ...) with each set's tokens, from the texts."""
+        named = wanted.select(F.col("rep").alias("doc_id"), F.struct(*[c for c in wanted.columns]).alias("w"))
+        found = docs.join(fixed_order_bound(named, wanted.count(), max_broadcast), "doc_id").select("text", "w.*")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for p in chunks(b):
+                    yield p.drop(columns="text").assign(tokens=[s.tobytes() for s in shingle_hashes(p["text"], k)])
+
+        return cut(found.mapInPandas(run, f"{kinds}, tokens binary").dropDuplicates(["rep"]))
+
+    # Every group's sets against its leader: what links with it is a cluster, any other set is one of its own.
     groups = reps.groupBy("gkey").agg(F.count("*").alias("members"), F.min(F.struct("spare", "rep")).alias("best"))
-    groups = groups.select("gkey", "members", F.col("best.rep").alias("leader"))
-    crossed = pairs.select(F.col("a").alias("gkey")).union(pairs.select(F.col("b").alias("gkey"))).distinct().withColumn("crossed", F.lit(True))
-    opened = cut(groups.join(crossed, "gkey", "left").where("members > 1 OR crossed"))
-    members = cut(reps.select("rep", "gkey").join(opened, "gkey"))
-    n_members = members.count()
-    texts = docs.join(fixed_order_bound(members.select(F.col("rep").alias("doc_id"), "gkey", "members", "leader"), n_members, max_broadcast), "doc_id")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in chunks(b):
-                yield p[["doc_id", "gkey", "members", "leader"]].rename(columns={"doc_id": "rep"}).assign(tokens=[s.tobytes() for s in shingle_hashes(p["text"], k)])
-
-    tokens = cut(texts.mapInPandas(sets, "rep bigint, gkey bigint, members bigint, leader bigint, tokens binary").dropDuplicates(["rep"]))
-    several = tokens.where("members > 1")
-    leaders = several.where("rep = leader").select("gkey", F.col("tokens").alias("leader_tokens"))
-    held = several.where("rep <> leader").join(leaders, "gkey").select("rep", "leader", "gkey", "tokens", "leader_tokens")
-    star = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, gkey bigint, core boolean"))
-    links = star.where("core").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-    # Blocks of sets: what is opened is pairs of blocks.
-    n_blocks = F.ceil(F.col("members") / block).cast("int")
-    placed = tokens.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
-    blocks = placed.select("gkey", "block").distinct()
-    fringe = star.where("NOT core").select("rep")
-    fringe_sets = cut(placed.join(fixed_order_bound(fringe, fringe.count(), max_broadcast), "rep", "left_semi"))
-    fringe_blocks = fringe_sets.select("gkey", "block").distinct()
-    own = fringe_blocks.select("gkey", F.col("block").alias("x")).join(blocks.select("gkey", F.col("block").alias("y")), "gkey")
-    own = own.select(F.md5(F.concat_ws(":", "gkey", "x", F.lit("own"), "y")).alias("unit"), "gkey", "x", "y")
-    across = pairs.join(blocks.select(F.col("gkey").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("gkey").alias("b"), F.col("block").alias("y")), "b")
-    across = across.select(F.md5(F.concat_ws(":", "a", "x", "b", "y")).alias("unit"), "a", "x", "b", "y")
-    side = lambda df, g, x, s: df.select("unit", F.lit(s).alias("side"), F.col(g).alias("gkey"), F.col(x).alias("block"))
-    whole = side(own, "gkey", "y", 1).unionByName(side(across, "a", "x", 0)).unionByName(side(across, "b", "y", 1))
-    rows = whole.join(placed, ["gkey", "block"]).select("unit", "side", "rep", "tokens").unionByName(side(own, "gkey", "x", 0).join(fringe_sets, ["gkey", "block"]).select("unit", "side", "rep", "tokens"))
-    n_parts = max(spark.sparkContext.defaultParallelism * 2, n_members // 2048)
+    groups = groups.where("members > 1").select("gkey", F.col("best.rep").alias("leader"))
+    grouped = sets_of(cut(reps.select("rep", "gkey").join(groups, "gkey").select("rep", "leader")))
+    leaders = grouped.where("rep = leader").select("leader", F.col("tokens").alias("leader_tokens"))
+    held = grouped.where("rep <> leader").join(leaders, "leader").select("rep", "leader", "tokens", "leader_tokens")
+    core = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, core boolean").where("core").select("rep", "leader"))
+    clustered = reps.join(fixed_order_bound(core, core.count(), max_broadcast), "rep", "left").select("rep", "n", "prefix", F.coalesce("leader", "rep").alias("cluster"))
+    matrix = clustered.mapInPandas(_matrix(bits), _MATRIX)
+    pairs = matrix.groupBy("bucket").applyInPandas(_group_pairs(percent), "a bigint, b bigint").distinct()
+    # Each pair of clusters is opened as blocks of the larger one against chunks of all its partners' sets.
+    sizes = core.groupBy("leader").agg(F.count("*").alias("others")).select(F.col("leader").alias("cluster"), (F.col("others") + 1).alias("members"))
+    sized = lambda g: sizes.select(F.col("cluster").alias(g), F.col("members").alias(f"{g}_members"))
+    pairs = pairs.join(sized("a"), "a", "left").join(sized("b"), "b", "left").select("a", "b", F.coalesce("a_members", F.lit(1)).alias("m"), F.coalesce("b_members", F.lit(1)).alias("o"))
+    larger = (F.col("m") > F.col("o")) | ((F.col("m") == F.col("o")) & (F.col("a") < F.col("b")))
+    x, y = F.when(larger, F.col("a")).otherwise(F.col("b")), F.when(larger, F.col("b")).otherwise(F.col("a"))
+    pairs = cut(pairs.select(x.alias("x"), y.alias("y"), F.greatest("m", "o").alias("x_members"), F.least("m", "o").alias("y_members")))
+    used = pairs.select(F.col("x").alias("cluster")).union(pairs.select(F.col("y").alias("cluster"))).distinct()
+    wanted = cut(core.select("rep", F.col("leader").alias("cluster")).join(used, "cluster").select("rep", "cluster").unionByName(used.select(F.col("cluster").alias("rep"), "cluster")))
+    opened = sets_of(wanted)
+    partners = pairs.groupBy("x", "x_members").agg(F.sum("y_members").alias("partners"))
+    n_blocks, n_chunks = F.ceil(F.col("x_members") / block), F.ceil(F.col("partners") / block)
+    blocks = partners.select("x", "partners", n_blocks.alias("blocks"), n_chunks.alias("chunks"))
+    each_block = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    first = opened.join(each_block, F.col("cluster") == F.col("x")).select("x", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "chunk", F.lit(0).alias("side"), "rep", "tokens")
+    asked = pairs.select("x", "y").join(blocks, "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    second = opened.join(asked, F.col("cluster") == F.col("y")).select("x", "block", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), F.lit(1).alias("side"), "rep", "tokens")
+    rows = first.unionByName(second).select(F.concat_ws(":", "x", "block", "chunk").alias("unit"), "side", "rep", "tokens")
+    n_parts = max(spark.sparkContext.defaultParallelism * 2, n_docs // 8192)
     found = rows.repartition(n_parts, "unit").sortWithinPartitions("unit").mapInPandas(_open(percent), "u bigint, v bigint")
-    ends = connected(links.unionByName(found))
+    ends = connected(core.select(F.col("rep").alias("u"), F.col("leader").alias("v")).unionByName(found))
     named = reps.select("sig", "rep").join(ends.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = each.select("doc_id", "n", "sig").join(named, "sig", "left")
+    out = each.join(named, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
