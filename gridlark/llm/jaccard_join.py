@@ -313,8 +313,8 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, k, bits, max_frequent))
     feats = cut(docs.mapInPandas(_features(k, percent, bits, shared), _FEATURES))
     each = feats.select("doc_id", "n", "sig")
-    least = F.min(F.struct("doc_id", "n", "gkey", "spare", "prefix"))
-    reps = cut(feats.where("n > 0").groupBy("sig").agg(least.alias("r")).select("sig", F.col("r.doc_id").alias("rep"), "r.n", "r.gkey", "r.spare", "r.prefix"))
+    least = F.min(F.struct("doc_id", "n", "gkey", "spare"))
+    reps = cut(feats.where("n > 0").groupBy("sig").agg(least.alias("r")).select("sig", F.col("r.doc_id").alias("rep"), "r.gkey", "r.spare"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """``wanted`` (rep, ...) with each set's tokens, from the texts."""
@@ -327,16 +327,17 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
                 for p in chunks(b):
                     yield p.drop(columns="text").assign(tokens=[s.tobytes() for s in shingle_hashes(p["text"], k)])
 
-        return cut(found.mapInPandas(run, f"{kinds}, tokens binary").dropDuplicates(["rep"]))
+        return found.mapInPandas(run, f"{kinds}, tokens binary")  # an id that is repeated gives its set again, which is harmless
 
     # Every group's sets against its leader: what links with it is a cluster, any other set is one of its own.
     groups = reps.groupBy("gkey").agg(F.count("*").alias("members"), F.min(F.struct("spare", "rep")).alias("best"))
     groups = groups.where("members > 1").select("gkey", F.col("best.rep").alias("leader"))
-    grouped = sets_of(cut(reps.select("rep", "gkey").join(groups, "gkey").select("rep", "leader")))
-    leaders = grouped.where("rep = leader").select("leader", F.col("tokens").alias("leader_tokens"))
-    held = grouped.where("rep <> leader").join(leaders, "leader").select("rep", "leader", "tokens", "leader_tokens")
-    core = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, core boolean").where("core").select("rep", "leader"))
-    clustered = reps.join(fixed_order_bound(core, core.count(), max_broadcast), "rep", "left").select("rep", "n", "prefix", F.coalesce("leader", "rep").alias("cluster"))
+    grouped = cut(reps.select("rep", "gkey").join(groups, "gkey").select("rep", "leader"))
+    leaders = sets_of(grouped.where("rep = leader")).select("leader", F.col("tokens").alias("leader_tokens"))
+    held = sets_of(grouped.where("rep <> leader")).join(leaders, "leader").select("rep", "leader", "tokens", "leader_tokens")
+    core = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, core boolean").where("core").select("rep", "leader").distinct())
+    clusters = reps.select("rep").join(core, "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("leader", "rep").alias("cluster"))
+    clustered = feats.where("n > 0").select("doc_id", "n", "prefix").join(clusters, "doc_id").select("cluster", "n", "prefix")
     matrix = clustered.mapInPandas(_matrix(bits), _MATRIX)
     pairs = matrix.groupBy("bucket").applyInPandas(_group_pairs(percent), "a bigint, b bigint").distinct()
     # Each pair of clusters is opened as blocks of the larger one against chunks of all its partners' sets.
@@ -348,7 +349,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     pairs = cut(pairs.select(x.alias("x"), y.alias("y"), F.greatest("m", "o").alias("x_members"), F.least("m", "o").alias("y_members")))
     used = pairs.select(F.col("x").alias("cluster")).union(pairs.select(F.col("y").alias("cluster"))).distinct()
     wanted = cut(core.select("rep", F.col("leader").alias("cluster")).join(used, "cluster").select("rep", "cluster").unionByName(used.select(F.col("cluster").alias("rep"), "cluster")))
-    opened = sets_of(wanted)
+    opened = cut(sets_of(wanted))
     partners = pairs.groupBy("x", "x_members").agg(F.sum("y_members").alias("partners"))
     n_blocks, n_chunks = F.ceil(F.col("x_members") / block), F.ceil(F.col("partners") / block)
     blocks = partners.select("x", "partners", n_blocks.alias("blocks"), n_chunks.alias("chunks"))
