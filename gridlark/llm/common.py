@@ -87,11 +87,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
+    """1, base, base ** 2, ... (``n`` of them, modulo 2 ** 64); what was computed is kept."""
+    got = _POWERS.get(int(base))
+    if got is None or len(got) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        got = _POWERS[int(base)] = np.multiply.accumulate(out)
+    return got[:n]
 
 
 def joined(texts, gap: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_quality, mixing, sharding, token_rollup, toxicity
+from . import jaccard_join, line_quality, mixing, sharding, suffix_dedup, token_rollup, toxicity
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_toxicity, op7_jaccard_join, op8_shard, op9_line_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_mix_sources, op5_toxicity, op7_jaccard_join, op8_shard, op9_line_quality, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
