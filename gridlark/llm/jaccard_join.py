@@ -2,10 +2,11 @@
 
 A text's tokens are the hashes of its runs of ``k`` words.  Texts with equal token sets are one set.  Similar sets are
 partitioned into groups: by a minimum hash first, then each is held against the leader of its hash, and those that link
-with it are its group, while any other is a group of its own.  In a common order of all tokens (rare ones first) two
-sets that are similar enough must share one of the first ``n - ceil(t * n) + 1`` tokens of each; the matrix stores for
-each group the union of its sets' such tokens, with the range of their sizes, so the overlap of a query with a group is
-bounded from above: by zero where it has none of the union's tokens, and by the sizes.  Only pairs of groups whose
+with it are its group; those half as similar form groups of their own, and any other is a group alone.  In a common
+order of all tokens (rare ones first) two sets that are similar enough must share one of the first
+``n - ceil(t * n) + 1`` tokens of each; the matrix stores for each group the union of its sets' such tokens, with the
+range of their sizes, so the overlap of a query with a group is bounded from above: by zero where it has none of the
+union's tokens, and by the sizes.  Only pairs of groups whose
 bound allows a link are opened, in blocks: a large group's sets against chunks of all sets that ask for it.  Links are
 verified on whole token sets, so none is lost or invented, and connected components are built from them.  No links are
 listed between sets that are known to be connected.
@@ -230,8 +231,9 @@ def _star(percent: int):
                 a, b = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
-                ok.append(bool(_linked(int((b[at] == a).sum()), len(a), len(b), percent)))
-            yield p[["rep", "leader"]].assign(core=ok)
+                inter = int((b[at] == a).sum())
+                ok.append(2 if _linked(inter, len(a), len(b), percent) else 1 if _linked(inter, len(a), len(b), percent // 2) else 0)
+            yield p[["rep", "leader"]].assign(near=ok)
 
     return run
 
@@ -303,7 +305,7 @@ def _open(percent: int):
     return run
 
 
-def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128, max_frequent: int = 1_000_000, max_broadcast: int = 500_000) -> DataFrame:
+def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128, max_frequent: int = 4_000_000, max_broadcast: int = 500_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id: the least id reachable by links of which each
     joins two sets with 100 * intersection >= ``percent`` * union."""
     spark = docs.sparkSession
@@ -335,20 +337,28 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     grouped = cut(reps.select("rep", "gkey").join(groups, "gkey").select("rep", "leader"))
     leaders = sets_of(grouped.where("rep = leader")).select("leader", F.col("tokens").alias("leader_tokens"))
     held = sets_of(grouped.where("rep <> leader")).join(leaders, "leader").select("rep", "leader", "tokens", "leader_tokens")
-    core = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, core boolean").where("core").select("rep", "leader").distinct())
-    clusters = reps.select("rep").join(core, "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("leader", "rep").alias("cluster"))
+    near = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, near int").where("near > 0").distinct())
+    core = near.where("near = 2").select("rep", "leader")
+    # Sets of the leader's kind that do not link with it are groups of up to ``block``, so that many of them are few groups.
+    loose = near.where("near = 1").select("rep", "leader")
+    blocked = loose.join(loose.groupBy("leader").agg(F.count("*").alias("members")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / block)))
+    named = blocked.groupBy("leader", "block").agg(F.min("rep").alias("cluster"))
+    kin = cut(core.withColumnRenamed("leader", "cluster").unionByName(blocked.join(named, ["leader", "block"]).where("rep <> cluster").select("rep", "cluster")))
+    clusters = reps.select("rep").join(kin, "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("cluster", "rep").alias("cluster"))
     clustered = feats.where("n > 0").select("doc_id", "n", "prefix").join(clusters, "doc_id").select("cluster", "n", "prefix")
     matrix = clustered.mapInPandas(_matrix(bits), _MATRIX)
     pairs = matrix.groupBy("bucket").applyInPandas(_group_pairs(percent), "a bigint, b bigint").distinct()
     # Each pair of clusters is opened as blocks of the larger one against chunks of all its partners' sets.
-    sizes = core.groupBy("leader").agg(F.count("*").alias("others")).select(F.col("leader").alias("cluster"), (F.col("others") + 1).alias("members"))
+    sizes = kin.groupBy("cluster").agg((F.count("*") + 1).alias("members"))
+    within = blocked.join(named, ["leader", "block"]).select(F.col("cluster").alias("a"), F.col("cluster").alias("b")).distinct()
+    pairs = pairs.unionByName(within)
     sized = lambda g: sizes.select(F.col("cluster").alias(g), F.col("members").alias(f"{g}_members"))
     pairs = pairs.join(sized("a"), "a", "left").join(sized("b"), "b", "left").select("a", "b", F.coalesce("a_members", F.lit(1)).alias("m"), F.coalesce("b_members", F.lit(1)).alias("o"))
     larger = (F.col("m") > F.col("o")) | ((F.col("m") == F.col("o")) & (F.col("a") < F.col("b")))
     x, y = F.when(larger, F.col("a")).otherwise(F.col("b")), F.when(larger, F.col("b")).otherwise(F.col("a"))
     pairs = cut(pairs.select(x.alias("x"), y.alias("y"), F.greatest("m", "o").alias("x_members"), F.least("m", "o").alias("y_members")))
     used = pairs.select(F.col("x").alias("cluster")).union(pairs.select(F.col("y").alias("cluster"))).distinct()
-    wanted = cut(core.select("rep", F.col("leader").alias("cluster")).join(used, "cluster").select("rep", "cluster").unionByName(used.select(F.col("cluster").alias("rep"), "cluster")))
+    wanted = cut(kin.join(used, "cluster").select("rep", "cluster").unionByName(used.select(F.col("cluster").alias("rep"), "cluster")))
     opened = cut(sets_of(wanted))
     partners = pairs.groupBy("x", "x_members").agg(F.sum("y_members").alias("partners"))
     n_blocks, n_chunks = F.ceil(F.col("x_members") / block), F.ceil(F.col("partners") / block)
