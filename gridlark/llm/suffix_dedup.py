@@ -218,15 +218,16 @@ def _segments(length: int, parts: int, content: bool):
                     h, p, span, a, hot = r["h"], r["p"], r["span"], r["a"], r["hot"]
                     if not hot:
                         cuts = [(p, p + span, None)]
-                    else:  # windows by their anchor's offset; those of a part share t[y : x + length]
-                        cuts, x = [], p
+                    else:  # windows by their anchor's offset; every window of a part holds the part's core
+                        cuts, x, at = [], p, p + a
                         while x <= p + span:
-                            y = min(p + span, p + a - (p + a - x) // step * step)
-                            cuts.append((x, y, hashlib.md5(t[y : x + length]).digest()))
+                            near = (at - x) // step * step
+                            far = min(near + step - 1, length - GRAM)
+                            y = min(p + span, at - near)
+                            cuts.append((x, y, hashlib.md5(t[at - near : at - far + length]).digest()))
                             x = y + 1
                     for x, y, core in cuts:
                         seg = t[x : y + length]
-                        # the anchor's place belongs to the segment: windows of equal bytes have it too
                         name = hashlib.md5(seg).digest()
                         key = h if core is None else int.from_bytes(core[:8], "little", signed=True) ^ h
                         out.append((name, key, seg) if content else (i, x, name))
@@ -308,8 +309,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, par
     again = runs.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y")
     again = again.select("h", (F.col("n") > hot_runs).alias("hot"))
     chosen = cut(runs.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot")).alias("runs")))
-    chosen_rows = chosen.count()
-    texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_rows, max_broadcast), "doc_id").select("doc_id", "text", "runs")
+    chosen_rows, chosen_runs = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_runs, max_broadcast), "doc_id").select("doc_id", "text", "runs")
     segments = texts.mapInPandas(_segments(length, parts, True), "name binary, key bigint, seg binary")
     segments = segments.groupBy("key", "name").agg(F.first("seg").alias("seg"), F.count("*").alias("n"))
     n_parts = max(2 * spark.sparkContext.defaultParallelism, chosen_rows // 2000)
