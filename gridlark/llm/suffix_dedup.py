@@ -29,7 +29,7 @@ from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, mix, powers
 
 GRAM = 32
 PLACE_BITS = 24  # of a window minimum; texts are read in pieces below 2 ** PLACE_BITS bytes
-PIECE = 3_000_000
+PIECE = 1_500_000
 U = np.uint64
 
 
@@ -206,16 +206,15 @@ def _anchors(length: int):
 
 
 def _segments(length: int, parts: int, content: bool):
-    """Rows (doc_id, text, runs) to segments: with their bytes, or with the place they have in the document."""
+    """Rows (doc_id, text and the runs' h, p, span, a, hot) to segments: with their bytes, or with the place they have in the document."""
     step = -(-(length - GRAM + 1) // parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, size = [], 0
-            for i, t, runs in zip(b["doc_id"], b["text"], b["runs"], strict=True):
+            for i, t, *runs in zip(b["doc_id"], b["text"], b["h"], b["p"], b["span"], b["a"], b["hot"], strict=True):
                 t = _bytes(t)
-                for r in runs:
-                    h, p, span, a, hot = r["h"], r["p"], r["span"], r["a"], r["hot"]
+                for h, p, span, a, hot in zip(*[r.tolist() for r in runs], strict=True):
                     if not hot:
                         cuts = [(p, p + span, None)]
                     else:  # windows by their anchor's offset; every window of a part holds the part's core
@@ -297,7 +296,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 1_200_000, max_broadcast: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 700_000, max_broadcast: int = 200_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte offsets)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("sig"))
@@ -308,9 +307,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, par
     place = F.xxhash64("doc_id", "p")
     again = runs.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y")
     again = again.select("h", (F.col("n") > hot_runs).alias("hot"))
-    chosen = cut(runs.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot")).alias("runs")))
-    chosen_rows, chosen_runs = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
-    texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_runs, max_broadcast), "doc_id").select("doc_id", "text", "runs")
+    chosen = cut(runs.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot")).alias("r")).select("doc_id", "r.h", "r.p", "r.span", "r.a", "r.hot"))
+    chosen_rows, chosen_runs = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0))).first()
+    texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_runs, max_broadcast), "doc_id").select("doc_id", "text", "h", "p", "span", "a", "hot")
     segments = texts.mapInPandas(_segments(length, parts, True), "name binary, key bigint, seg binary")
     segments = segments.groupBy("key", "name").agg(F.first("seg").alias("seg"), F.count("*").alias("n"))
     n_parts = max(2 * spark.sparkContext.defaultParallelism, chosen_rows // 2000)
