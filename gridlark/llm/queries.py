@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_quality, mixing, sharding, suffix_dedup, token_rollup, toxicity
+from . import context_mixing, jaccard_join, line_quality, mixing, sharding, suffix_dedup, token_rollup, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_mix_sources, op5_toxicity, op7_jaccard_join, op8_shard, op9_line_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_mix_sources, op5_toxicity, op6_context_mixing, op7_jaccard_join, op8_shard, op9_line_quality, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
