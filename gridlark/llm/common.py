@@ -49,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Stands for a null id in Python, where whole numbers have no null; it is the largest, so it never names a group.
+NO_ID = 2**63 - 1
+
+
+def id_or_none(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(NO_ID)).alias(name)
+
+
+def none_again(name: str) -> Column:
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -59,11 +71,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_null_text(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names cannot matter."""
-    return df.select(*[df[n] for n in names])
-
-
 # ---------------------------------------------------------------- numpy hashing
 
 U = np.uint64

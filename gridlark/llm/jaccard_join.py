@@ -15,7 +15,7 @@ The order of tokens puts those of many documents last; it is counted over all do
 (``max_frequent`` at most, the bound of what is broadcast) take part in it.  It decides speed, not the result.
 
 Null and blank texts have no tokens and link with nothing; with fewer than ``k`` words the whole sequence is the one
-token.  Repeated rows are equal sets.  A null id is told apart from no other null.  An empty table gives no rows.
+token.  Repeated rows are equal sets.  All null ids are one id.  An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fixed_order_bound, mix, shingle_hashes
+from .common import chunks, cut, fixed_order_bound, id_or_none, mix, none_again, shingle_hashes
 from .graph import connected
 
 U = np.uint64
@@ -140,7 +140,7 @@ def _features(k: int, percent: int, bits: int, shared):
                         common = int(o.sum())
                         gkeys[i] = (g[o] if 2 * common >= n else g).min().astype(np.int64)
                         spare[i] = n - 2 * common
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": lens, "sig": sigs, "gkey": gkeys, "spare": spare, "prefix": prefixes})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": lens, "sig": sigs, "gkey": gkeys, "spare": spare, "prefix": prefixes})
 
     return run
 
@@ -305,11 +305,20 @@ def _open(percent: int):
     return run
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, max_broadcast: int = 500_000, **options) -> DataFrame:
+    """``docs`` with one document of each component, that of the least id; texts without words all stay."""
+    found = components(docs, k, percent, **options)
+    kept = cut(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
+    n, repeated = kept.agg(F.count("*"), F.coalesce(F.max(F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rows"))), F.lit(0))).first()
+    out = docs.join(fixed_order_bound(kept.select("id"), n, max_broadcast), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated > 1 else out
+
+
 def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128, max_frequent: int = 4_000_000, max_broadcast: int = 500_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id: the least id reachable by links of which each
     joins two sets with 100 * intersection >= ``percent`` * union."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(id_or_none("doc_id"), "text")
     n_docs = docs.count()
     bits = _bits(n_docs)
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, k, bits, max_frequent))
@@ -373,4 +382,5 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     ends = connected(core.select(F.col("rep").alias("u"), F.col("leader").alias("v")).unionByName(found))
     named = reps.select("sig", "rep").join(ends.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = each.join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select(none_again("doc_id"), "n_shingles", none_again("component_id"))

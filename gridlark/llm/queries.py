@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, jaccard_join, line_quality, mixing, sharding, suffix_dedup, token_rollup, toxicity
+from . import context_mixing, decontamination, jaccard_join, line_quality, mixing, pii, sharding, suffix_dedup, token_rollup, toxicity
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_mix_sources, op5_toxicity, op6_context_mixing, op7_jaccard_join, op8_shard, op9_line_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_pii, op4_mix_sources, op5_toxicity, op6_context_mixing, op7_jaccard_join, op8_shard, op9_line_quality, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, mix, powers
+from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, id_or_none, mix, none_again, powers
 
 GRAM = 32
 PLACE_BITS = 24  # of a window minimum; texts are read in pieces below 2 ** PLACE_BITS bytes
@@ -290,8 +290,7 @@ def _remove(length: int):
                     at = y
                 digest.update(t[at:])
                 rows.append((i, len(t), sum(y - x for x, y in spans), len(spans), digest.hexdigest(), [x for x, _ in spans], [y for _, y in spans]))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends"])
 
     return run
 
@@ -299,7 +298,7 @@ def _remove(length: int):
 def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 700_000, max_broadcast: int = 200_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte offsets)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("sig"))
+    docs = docs.select(id_or_none("doc_id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("sig"))
     copies = cut(docs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     found = cut(docs.where(F.octet_length("text") >= length).mapInPandas(_anchors(length), "doc_id bigint, sig string, h array<bigint>, p array<int>, span array<int>, a array<int>"))
     reps = copies.select("sig", F.col("rep").alias("doc_id"))
@@ -321,4 +320,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, par
     marked = copies.withColumnRenamed("rep", "doc_id").join(windows, "doc_id", "left").where("copies > 1 OR w IS NOT NULL")
     marked = cut(marked.select("sig", F.col("w.s").alias("starts"), F.col("w.e").alias("ends"), (F.col("copies") > 1).alias("everything")))
     full = docs.join(fixed_order_bound(marked, marked.count(), max_broadcast), "sig", "left").select("doc_id", "text", "starts", "ends", "everything")
-    return full.mapInPandas(_remove(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>")
+    out = full.mapInPandas(_remove(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>")
+    return out.withColumn("doc_id", none_again("doc_id"))

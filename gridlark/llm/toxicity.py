@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, INV, _LOWER, joined, mix, powers
+from .common import _LOWER, BASE, BYTE_CODE, INV, chunks, joined, mix, powers
 
 BITS, DIM, FILTERS, WIDTHS = 16, 12, 8, (1, 2, 3)
 PAD = max(WIDTHS)
@@ -215,27 +215,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, seed: int = 0)
     return train([rows[i] for i in ids], np.array([label[i] for i in ids]), seed=seed)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), batch_bytes: int = 4_000_000) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id, score and ``keep``."""
+def scorer(docs: DataFrame, model: Model, batch_chars: int = 3_000_000):
+    """A column function: the score of a text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.select("doc_id", *keep).schema
-    names = fields.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in b["text"]]) // batch_bytes
-            for _, part in b.groupby(size, sort=True):
-                z = m.logits([t if isinstance(t, str) else "" for t in part["text"]])
-                yield part[names].assign(score=1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            parts = [shared.value.logits([t if isinstance(t, str) else "" for t in p["text"]]) for p in chunks(b.to_frame("text"), limit=batch_chars)]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate([*parts, np.zeros(0)]), -500, 500))))
 
-    # "text" may be among the columns kept
-    source = docs.select(*names, *([] if "text" in names else ["text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return source.mapInPandas(run, schema)
+    return run
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), max_rows: int = 2500) -> DataFrame:
     """doc_id, held_out, score, predicted and ``keep`` for all ``docs``."""
-    scored = score(docs, fit(docs, labels, max_rows), keep)
+    scored = docs.select("doc_id", *keep, scorer(docs, fit(docs, labels, max_rows))("text").alias("score"))
     return scored.select("doc_id", *keep, (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
