@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Texts become token sequences in which numbers, units behind numbers and names (capitalised words within a sentence) are
-typed placeholders, and all other words are lower-cased.  Windows of ``width`` tokens of the documents meet those of
+typed placeholders, and all words are lower-cased.  Windows of ``width`` tokens of the documents meet those of
 the benchmark in a hash join.  A document leaks an item if it holds at least ``share`` of the item's windows, and if
 the values in its placeholders follow the item's: in the best alignment, one value of the item must stand for one value
 of the document (the same, or a new one throughout) in ``consistent`` of the places.  So questions are found with their
@@ -17,78 +17,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fixed_order_bound, lower_ascii
+from .common import cut, fixed_order_bound
 from .line_quality import let
 
 # Words for units that can follow a number.
 UNITS = "kg g mg t lb oz km m cm mm mi mile miles ft feet inch inches l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent euro euros dollar dollars cent cents degree degrees mph kmh mb gb".split()
-STARTS = "\x01"  # marks the first word of a sentence
-NUM, NAME, UNIT = "\x02num", "\x02name", "\x02unit"
+MARK = "\x02"  # begins a placeholder
+NAME = r"(?<=[\p{Ll}\p{N},;:] )[A-Z][a-z]\p{L}*"
+NUMBER = r"\p{N}+"
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits; the first of a sentence is marked."""
-    x = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  ")
-    x = F.concat(F.lit(STARTS), F.regexp_replace(x, r"[.!?]+(?=[\s\"')]|$)|\n", f" {STARTS}"))
-    return F.filter(F.split(x, r"[^\p{L}\p{N}\x01]+"), lambda w: (w != "") & (w != STARTS))
+def templates(text: Column, values: bool = False) -> Column:
+    """The runs of letters and digits of a text, lower-cased, with typed placeholders; these carry what they stand for if
+    ``values``.  The whole text is rewritten before it is split, so no token is handled on its own."""
+    kept = "$0" if values else ""
+    x = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    x = F.regexp_replace(x, NAME, f"{MARK}name{kept}")
+    x = F.lower(F.regexp_replace(x, NUMBER, f"{MARK}num{kept}"))
+    unit = rf"(?<={MARK}num\p{{N}}{{0,20}} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+    x = F.regexp_replace(x, unit, f"{MARK}unit{kept}")
+    return F.array_remove(F.split(x, rf"[^\p{{L}}\p{{N}}{MARK}]+"), "")
 
 
-def _is_number(w: Column) -> Column:
-    return F.ltrim(w, F.lit(STARTS)).rlike(r"^\p{N}")
+def window_hashes(temps: Column, width: int) -> Column:
+    """A hash of the window that begins at each token; the last ones are short."""
+    return let(temps, lambda t: F.transform(t, lambda x, i: F.xxhash64(x, *[F.get(t, i + j) for j in range(1, width)])))
 
 
-def templates(toks: Column) -> Column:
-    first = lambda w: F.substring(w, 1, 1)
+def whole_windows(temps: Column, width: int, min_words: int) -> Column:
+    """struct(h, i) of each whole window that has ``min_words`` plain words."""
 
-    def one(w: Column, i: Column) -> Column:
-        plain = lower_ascii(F.ltrim(w, F.lit(STARTS)))
-        unit = plain.isin(*UNITS) & (i > 0) & F.coalesce(_is_number(F.get(toks, i - 1)), F.lit(False))
-        name = first(w).between("A", "Z") & F.substring(w, 2, 1).between("a", "z")
-        return F.when(_is_number(w), NUM).when(name, NAME).when(unit, UNIT).otherwise(plain)
+    def chosen(t: Column) -> Column:
+        plain = F.transform(t, lambda w: F.when(F.startswith(w, F.lit(MARK)), 0).otherwise(1))
+        each = F.transform(window_hashes(t, width), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.filter(each, lambda x: (x["i"] <= F.size(t) - width) & (F.aggregate(F.slice(plain, x["i"] + 1, width), F.lit(0), lambda s, v: s + v) >= min_words))
 
-    return F.transform(toks, one)
-
-
-def windows(temps: Column, width: int, min_words: int) -> Column:
-    """struct(h, i) of each window that has ``min_words`` plain words."""
-
-    def all_of(codes: Column) -> Column:
-        # a placeholder's code is even, a plain word's is odd
-        n = F.size(codes) - (width - 1)
-
-        def one(i: Column) -> Column:
-            at = [F.get(codes, i + j) for j in range(width)]
-            plain = sum((F.shiftright(F.shiftleft(a, 63), 63) * -1 for a in at[1:]), F.shiftright(F.shiftleft(at[0], 63), 63) * -1)
-            return F.when(plain >= min_words, F.xxhash64(*at))
-
-        made = F.transform(F.sequence(F.lit(0), n - 1), one)
-        return F.filter(F.transform(made, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: x["h"].isNotNull())
-
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.when(first_char(w) == "\x02", h.bitwiseAND(F.lit(-2))).otherwise(h.bitwiseOR(F.lit(1)))
-
-    first_char = lambda w: F.substring(w, 1, 1)
-    empty = F.array().cast("array<struct<h:bigint,i:int>>")
-    return F.when(F.size(temps) >= width, let(F.transform(temps, code), all_of)).otherwise(empty)
+    return let(temps, chosen)
 
 
 def _slots(rows: DataFrame, *ids: str) -> DataFrame:
-    """Rows (ids, toks) to ids, at, kind, value of each placeholder."""
-    each = rows.select(*ids, F.posexplode(F.arrays_zip(F.col("toks").alias("w"), templates(F.col("toks")).alias("t"))).alias("at", "x"))
-    return each.where(F.substring("x.t", 1, 1) == "\x02").select(*ids, "at", lower_ascii(F.ltrim(F.col("x.w"), F.lit(STARTS))).alias("value"))
+    """Rows (ids, text) to ids, at, value of each placeholder."""
+    each = rows.select(*ids, F.posexplode(templates(F.col("text"), values=True)).alias("at", "x"))
+    return each.where(F.startswith("x", F.lit(MARK))).select(*ids, "at", F.col("x").alias("value"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, consistent: float = 0.8, min_words: int = 2, max_broadcast: int = 500_000) -> DataFrame:
     """``docs`` (doc_id, text) and ``benchmark`` (item_id, text) to doc_id, item_id, n_windows, n_found, n_slots,
     consistency, exact for each document and item that it leaks."""
-    toks = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().select("item_id", tokens(F.col("text")).alias("toks"))
-    items = cut(toks.select("item_id", "toks", windows(templates(F.col("toks")), width, min_words).alias("w")))
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    items = cut(items.select("item_id", "text", whole_windows(templates(F.col("text")), width, min_words).alias("w")))
     asked = items.select("item_id", F.size("w").alias("n_windows"), F.explode("w").alias("x")).select("item_id", "n_windows", F.col("x.h").alias("h"), F.col("x.i").alias("b"))
-    asked = asked.withColumn("n_windows", F.col("n_windows"))
     n_asked = asked.count()
-    d = docs.select("doc_id", tokens(F.col("text")).alias("toks")).select("doc_id", windows(templates(F.col("toks")), width, min_words).alias("w"))
-    held = d.select("doc_id", F.explode("w").alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.i").alias("d"))
+    held = docs.select("doc_id", F.posexplode(window_hashes(templates(F.col("text")), width)).alias("d", "h"))
     met = cut(held.join(fixed_order_bound(asked, n_asked, max_broadcast), "h").select("doc_id", "item_id", "n_windows", "b", (F.col("d") - F.col("b")).alias("shift")))
     found = met.select("doc_id", "item_id", "n_windows", "b").distinct().groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("n_found"))
     found = found.where(F.col("n_found") >= share * F.col("n_windows"))
@@ -100,7 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     to_check = cut(found.join(item_slots, "item_id").select("doc_id", "item_id", "item_value", (F.col("at") + F.col("shift")).alias("at")))
     ids = to_check.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(fixed_order_bound(ids, ids.count(), max_broadcast), "doc_id")
-    doc_slots = _slots(texts.select("doc_id", tokens(F.col("text")).alias("toks")), "doc_id")
+    doc_slots = _slots(texts, "doc_id")
     pairs = to_check.join(doc_slots, ["doc_id", "at"], "left").groupBy("doc_id", "item_id", "item_value", "value").agg(F.count("*").alias("n"))
     usual = pairs.groupBy("doc_id", "item_id", "item_value").agg(F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("value") == F.col("item_value"), F.col("n"))).alias("equal"))
     checked = usual.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), (F.sum(F.coalesce("most", F.lit(0))) / F.sum("n")).alias("consistency"), (F.sum(F.coalesce("equal", F.lit(0))) == F.sum("n")).alias("same_values"))

@@ -53,6 +53,16 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(np.searchsorted(begin, starts), len(begin))
 
 
+def features_in_parts(texts: list[str], limit: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many texts, without arrays of all their bytes."""
+    feats, at = [np.zeros((0, 3), np.uint64)], [np.zeros(1, np.int64)]
+    for part in chunks(pd.DataFrame({"text": texts}), limit=limit):
+        f, a = features(part["text"])
+        feats.append(f)
+        at.append(a[1:] + at[-1][-1])
+    return np.concatenate(feats), np.concatenate(at)
+
+
 _LANGUAGE = {int(features([w])[0][0, 0]): k for k, ws in enumerate(FUNCTION_WORDS.values()) for w in ws.split()}
 _LANGUAGE_KEYS = np.array(sorted(_LANGUAGE), dtype=np.uint64)
 _LANGUAGE_VALUES = np.array([_LANGUAGE[int(x)] for x in _LANGUAGE_KEYS])
@@ -129,7 +139,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 32, rat
     if len(set(y.tolist())) < 2:
         return m
     r = np.random.default_rng(seed)
-    feats, at = features(texts)
+    feats, at = features_in_parts(texts)
     order = r.permutation(len(y))
     fit, rest = order[len(order) // 5 :], order[: len(order) // 5]
     m.fitted = True
