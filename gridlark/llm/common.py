@@ -156,7 +156,7 @@ def shingle_hashes(texts, k: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(b, column: str = "text", limit: int = 3_000_000):
+def chunks(b, column: str = "text", limit: int = 1_000_000):
     """Row slices of a pandas frame whose texts have about ``limit`` characters together; a longer text stands alone."""
     size = np.fromiter((len(t) if isinstance(t, (str, bytes)) else 0 for t in b[column]), dtype=np.int64, count=len(b))
     part = np.cumsum(size) // limit

@@ -158,7 +158,7 @@ def _matrix(bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in chunks(batch, "prefix", 4_000_000):
+            for part in chunks(batch, "prefix", 2_000_000):
                 raw = np.frombuffer(b"".join(part["prefix"]), np.uint8).reshape(-1, width)
                 keys = np.zeros((len(raw), 8), np.uint8)
                 keys[:, :width] = raw

@@ -29,7 +29,7 @@ from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, id_or_none, mi
 
 GRAM = 32
 PLACE_BITS = 24  # of a window minimum; texts are read in pieces below 2 ** PLACE_BITS bytes
-PIECE = 1_500_000
+PIECE = 1_000_000
 U = np.uint64
 
 

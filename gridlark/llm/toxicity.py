@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, seed: int = 0)
     return train([rows[i] for i in ids], np.array([label[i] for i in ids]), seed=seed)
 
 
-def scorer(docs: DataFrame, model: Model, batch_chars: int = 3_000_000):
+def scorer(docs: DataFrame, model: Model, batch_chars: int = 1_000_000):
     """A column function: the score of a text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
