@@ -24,7 +24,7 @@ from .line_quality import let
 UNITS = "kg g mg t lb oz km m cm mm mi mile miles ft feet inch inches l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent euro euros dollar dollars cent cents degree degrees mph kmh mb gb".split()
 MARK = "\x02"  # begins a placeholder
 NAME = r"(?<=[\p{Ll}\p{N},;:] )[A-Z][a-z]\p{L}*"
-NUMBER = r"\p{N}+"
+NUMBER = r"(?<![\p{L}\p{N}])\p{N}++(?!\p{L})"
 
 
 def templates(text: Column, values: bool = False) -> Column:

@@ -105,7 +105,9 @@ def frequent_tokens(docs: DataFrame, k: int, bits: int, max_frequent: int) -> np
             yield pd.DataFrame({"keys": out})
 
     rows = counted.select("bucket", "low", "df").mapInPandas(frequent, "keys binary").collect()  # 8 * max_frequent bytes at most
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[0], np.uint64) for r in rows]]))
+    out = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[0], np.uint64) for r in rows]])
+    out.sort()
+    return out
 
 
 def _features(k: int, percent: int, bits: int, shared):
@@ -323,6 +325,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     bits = _bits(n_docs)
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, k, bits, max_frequent))
     feats = cut(docs.mapInPandas(_features(k, percent, bits, shared), _FEATURES))
+    shared.destroy()  # what it was for is written
     each = feats.select("doc_id", "n", "sig")
     least = F.min(F.struct("doc_id", "n", "gkey", "spare"))
     reps = cut(feats.where("n > 0").groupBy("sig").agg(least.alias("r")).select("sig", F.col("r.doc_id").alias("rep"), "r.gkey", "r.spare"))

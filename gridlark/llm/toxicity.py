@@ -208,7 +208,7 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, seed: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, seed: int = 0) -> Model:
     """Trains on at most ``max_rows`` labelled documents of each label whose remainder is not 0."""
     seen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != 0))
     picked = []
@@ -238,7 +238,7 @@ def scorer(docs: DataFrame, model: Model, batch_chars: int = 1_000_000):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), max_rows: int = 2500) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), max_rows: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted and ``keep`` for all ``docs``."""
     scored = docs.select("doc_id", *keep, scorer(docs, fit(docs, labels, max_rows))("text").alias("score"))
     return scored.select("doc_id", *keep, (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
