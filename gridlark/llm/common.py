@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers are to get ``rows`` whole texts at a time at most, so that batches take a few MB on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there, without its lineage."""
     shared_dir(df.sparkSession)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fixed_order_bound, id_or_none, mix, none_again, shingle_hashes
+from .common import chunks, cut, fixed_order_bound, id_or_none, mix, none_again, shingle_hashes, small_batches
 from .graph import connected
 
 U = np.uint64
@@ -320,6 +320,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id: the least id reachable by links of which each
     joins two sets with 100 * intersection >= ``percent`` * union."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(id_or_none("doc_id"), "text")
     n_docs = docs.count()
     bits = _bits(n_docs)

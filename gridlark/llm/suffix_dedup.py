@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, id_or_none, mix, none_again, powers
+from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, id_or_none, mix, none_again, powers, small_batches
 
 GRAM = 32
 PLACE_BITS = 24  # of a window minimum; texts are read in pieces below 2 ** PLACE_BITS bytes
@@ -298,6 +298,7 @@ def _remove(length: int):
 def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 700_000, max_broadcast: int = 200_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte offsets)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(id_or_none("doc_id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("sig"))
     copies = cut(docs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     found = cut(docs.where(F.octet_length("text") >= length).mapInPandas(_anchors(length), "doc_id bigint, sig string, h array<bigint>, p array<int>, span array<int>, a array<int>"))

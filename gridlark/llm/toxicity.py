@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, BASE, BYTE_CODE, INV, chunks, joined, mix, powers
+from .common import _LOWER, BASE, BYTE_CODE, INV, chunks, joined, mix, powers, small_batches
 
 BITS, DIM, FILTERS, WIDTHS = 16, 12, 8, (1, 2, 3)
 PAD = max(WIDTHS)
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, seed: int = 0)
 
 def scorer(docs: DataFrame, model: Model, batch_chars: int = 1_000_000):
     """A column function: the score of a text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
