@@ -29,7 +29,7 @@ from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, id_or_none, mi
 
 GRAM = 32
 PLACE_BITS = 24  # of a window minimum; texts are read in pieces below 2 ** PLACE_BITS bytes
-PIECE = 1_000_000
+PIECE = 400_000
 U = np.uint64
 
 
@@ -231,7 +231,7 @@ def _segments(length: int, parts: int, content: bool):
                         key = h if core is None else int.from_bytes(core[:8], "little", signed=True) ^ h
                         out.append((name, key, seg) if content else (i, x, name))
                         size += len(seg)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield pd.DataFrame(out, columns=["name", "key", "seg"] if content else ["doc_id", "p", "name"])
                     out, size = [], 0
             yield pd.DataFrame(out, columns=["name", "key", "seg"] if content else ["doc_id", "p", "name"])
@@ -295,7 +295,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 700_000, max_broadcast: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 350_000, max_broadcast: int = 200_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte offsets)."""
     spark = docs.sparkSession
     small_batches(spark)
