@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from itertools import combinations
 
 from pyspark.sql import Column
@@ -69,3 +71,19 @@ def band_sum(*bands: Column) -> Column:
 def stretch(c: Column, low: float, high: float, gamma: float = 1.0) -> Column:
     """0..255 for display."""
     return F.floor(255 * F.pow(clamp((c - low) / (high - low), 0.0, 1.0), F.lit(1.0 / gamma)))
+
+
+def expression(text: str) -> Column:
+    """Band arithmetic as text, with bands as b('name') or as bare names; a division by zero is masked."""
+    return F.expr(re.sub(r"""b\(\s*['"]([^'"]+)['"]\s*\)""", r"`\1`", text))
+
+
+def matching(names: list[str], pattern: str) -> list[str]:
+    """The names that a regular expression matches as a whole."""
+    return [n for n in names if re.fullmatch(pattern, n)]
+
+
+def palette(c: Column, low: float, high: float, colours: list[str]) -> Column:
+    """The colour of ``c`` among equal steps from low to high; values outside take the end colours."""
+    step = F.floor((c - low) / (high - low) * len(colours)).cast("int")
+    return F.get(F.array(*[F.lit(x) for x in colours]), F.greatest(F.lit(0), F.least(F.lit(len(colours) - 1), F.when(c.isNotNull(), step))))

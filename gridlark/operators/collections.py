@@ -83,3 +83,25 @@ def savitzky_golay(series: DataFrame) -> DataFrame:
     at = lambda k: F.lag("v", -k).over(w) if k < 0 else F.lead("v", k).over(w)
     total = sum((at(k - half) * c for k, c in enumerate(SMOOTH) if k != half), F.col("v") * SMOOTH[half])
     return body.withColumn("smooth", total / sum(SMOOTH)).where(F.col("t").isNotNull()).select("series", "t", "smooth")
+
+
+def cubic_weights(factor: int) -> list[tuple[int, float, bool]]:
+    """(t, weight, own): what a cell gives to target ``factor * cell + t``; own targets lie within the cell."""
+    out = []
+    for t in range(-2 * factor, 3 * factor):
+        a = abs((t + 0.5) / factor - 0.5)
+        w = 1.5 * a**3 - 2.5 * a**2 + 1 if a < 1 else -0.5 * a**3 + 2.5 * a**2 - 4 * a + 2
+        if a < 2:
+            out.append((t, w, 0 <= t < factor))
+    return out
+
+
+def bicubic(grid: DataFrame, factor: int) -> DataFrame:
+    """The grid at ``factor`` times its resolution, by cubic convolution along x, then y; weights of missing and masked
+    cells are shared among the others."""
+    offsets = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(own).alias("own")) for t, w, own in cubic_weights(factor)])
+    for axis, other in (("x", "y"), ("y", "x")):
+        dealt = grid.select(other, axis, "v", F.explode(offsets).alias("k")).select(other, (F.col(axis) * factor + F.col("k.t")).alias(axis), "v", "k.w", "k.own")
+        v = F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum(F.when(F.col("v").isNotNull(), F.col("w"))))
+        grid = dealt.groupBy(other, axis).agg(v.alias("v"), F.max("own").alias("own")).where("own").drop("own")
+    return grid.select("y", "x", "v")

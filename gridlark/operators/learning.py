@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +90,28 @@ def infeasibility(bands: list[Column], score: Column, target: list[float], varia
     far = sum(((b - score * t) * (b - score * t) for b, t in zip(bands, target, strict=True)), F.lit(0.0))
     spread = [F.lit(v**0.5) - score * (v**0.5 - 1) for v in variances]
     return F.try_divide(F.sqrt(far), F.sqrt(sum((s * s * s * s for s in spread), F.lit(0.0))))
+
+
+def regress(df: DataFrame, column: str, target: str, **options) -> DataFrame:
+    """df with the prediction of a random forest that learns ``target`` from the vectors."""
+    data = vectors(df, column).withColumn("label", F.col(target).cast("double"))
+    return RandomForestRegressor(featuresCol="features", labelCol="label", **options).fit(data).transform(data).drop("features", "label")
+
+
+def perceptron(df: DataFrame, column: str, label: str, hidden: tuple[int, ...] = (), seed: int = 1) -> DataFrame:
+    """df with the class that a perceptron (with ``hidden`` layers, if any) predicts; classes are 0, 1, 2, ..."""
+    data = vectors(df, column).withColumn("_l", F.col(label).cast("double"))
+    width, classes = data.agg(F.max(F.size(column)), F.max("_l")).first()
+    layers = [width, *hidden, max(int(classes) + 1, 2)]
+    model = MultilayerPerceptronClassifier(featuresCol="features", labelCol="_l", layers=layers, seed=seed, maxIter=50).fit(data)
+    return model.transform(data).drop("features", "_l", "rawPrediction", "probability")
+
+
+def matrix_times(matrix: list[list[float]], vector: Column) -> Column:
+    """A constant matrix times an array column."""
+    rows = [F.aggregate(F.zip_with(F.array(*[F.lit(float(w)) for w in row]), vector, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for row in matrix]
+    return F.array(*rows)
+
+
+def pseudo_inverse(matrix: list[list[float]]) -> list[list[float]]:
+    return np.linalg.pinv(np.asarray(matrix, dtype=float)).tolist()

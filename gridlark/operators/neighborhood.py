@@ -100,3 +100,9 @@ def components(grid: DataFrame, max_rounds: int = 256) -> DataFrame:
             break
         cells = nxt
     return cells.withColumnRenamed("v", "label")
+
+
+def neighborhood_bands(grid: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """y, x and a band n0, n1, ... for each (dx, dy): the value of that neighbour, NULL where it is masked or missing."""
+    numbered = [(dx, dy, float(i)) for i, (dx, dy) in enumerate(offsets)]
+    return reduce_kernel(grid, numbered, {f"n{i}": F.max(F.when(F.col("w") == i, F.col("nv"))) for i in range(len(offsets))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,19 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with labels as scored points: score in 0..1, is_target."""
     d = scan(spark, sf_dir, "documents").select("doc_id", F.least(F.col("n_chars") / F.lit(3000.0), F.lit(1.0)).alias("score"))
     return d.join(scan(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("is_target")), "doc_id")
+
+
+def export_kml(df: DataFrame, path: str, name: str, ring: str) -> None:
+    """Polygons (a name and an array of x, y) as KML placemarks, a file a partition, each a whole document."""
+    safe = F.replace(F.replace(F.col(name).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    corner = F.transform(F.concat(F.col(ring), F.slice(F.col(ring), 1, 1)), lambda p: F.concat_ws(",", p["x"], p["y"]))
+    mark = F.concat(F.lit("<Placemark><name>"), F.coalesce(safe, F.lit("")), F.lit("</name><Polygon><outerBoundaryIs><LinearRing><coordinates>"), F.concat_ws(" ", corner), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
+
+    def whole(batches):
+        yield pd.DataFrame({"value": [head]})
+        for b in batches:
+            yield b
+        yield pd.DataFrame({"value": [tail]})
+
+    df.select(mark.alias("value")).mapInPandas(whole, "value string").write.mode("overwrite").text(path)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridlark.plans import catalog
+from gridlark.plans import catalog, spatial  # noqa: F401 - adds its queries to the catalog
 
 SF = "/root/testdata/sf0.001"
 

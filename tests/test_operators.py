@@ -61,3 +61,71 @@ def test_roc_ties_are_strict(spark):
     c = {r["cutoff"]: r for r in E.roc(p, 10).collect()}
     assert c[0.5]["tpr"] == 2 / 3 and c[0.5]["tnr"] == 2 / 3 and len(c) == 11
     assert 0 <= E.auc(E.roc(p, 10)).first()["auc"] <= 1
+
+
+def test_ring_measures_and_containment(spark):
+    from gridlark.operators import geometry as G
+
+    el = G.ring([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)])
+    at = [(1, 1, True), (3, 1, True), (3, 3, False), (1, 3, True), (5, 1, False), (-1, 1, False)]
+    p = spark.createDataFrame([(float(x), float(y), e) for x, y, e in at], "x double, y double, e boolean")
+    assert all(r["got"] == r["e"] for r in p.withColumn("got", G.contains(el, F.col("x"), F.col("y"))).collect())
+    r = spark.range(1).select(G.area(el).alias("a"), G.perimeter(el).alias("p"), G.centroid(G.rectangle(0, 0, 2, 4)).alias("c"), G.centroid(G.ring([(1, 1), (1, 1)])).alias("none"), G.buffered(G.bounds(el), -3.0).alias("gone")).first()
+    assert (r["a"], r["p"], r["c"]["x"], r["c"]["y"], r["none"]["x"], r["gone"]) == (12, 16, 1, 2, None, None)
+
+
+def test_shared_edges_belong_to_one_polygon(spark):
+    from gridlark.operators import geometry as G
+
+    f = spark.range(2).select("id", G.rectangle(F.col("id") * 3, 0, F.col("id") * 3 + 3, 3).alias("ring"))
+    g = grid(spark, [[1] * 6] * 3)
+    assert {r["id"]: r["n"] for r in G.reduce_regions(g, f, "id", {"n": F.count("v")}).collect()} == {0: 9, 1: 9}
+    assert G.rasterize(f).where("n <> 1").count() == 0 and G.rasterize(f).count() == 18
+    far = spark.range(1).select("id", G.rectangle(90, 90, 91, 91).alias("ring"))
+    assert G.reduce_regions(g, far, "id", {"n": F.count("v")}).first()["n"] is None
+
+
+def test_hull_of_a_square_has_its_corners(spark):
+    from gridlark.operators import geometry as G
+
+    p = spark.range(400).select(F.lit(7).alias("k"), (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
+    h = G.convex_hull(p, "k", strips=3).first()
+    assert sorted((c["x"], c["y"]) for c in h["ring"]) == [(0, 0), (0, 19), (19, 0), (19, 19)]
+
+
+def test_bicubic_keeps_a_constant_and_size(spark):
+    from gridlark.operators import collections as C
+
+    out = values(C.bicubic(grid(spark, [[3, 3, None], [3, 3, 3]]), 2))
+    assert len(out) == 24 and all(abs(v - 3) < 1e-9 for v in out.values() if v is not None)
+
+
+def test_islands_become_features(spark):
+    from gridlark.operators import geometry as G
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    g = grid(spark, [[1, 1, 0, 0], [0, 0, 0, 1], [0, 0, 0, 1]])
+    got = {r["n"]: r["bounds"].asDict() for r in G.vectorize(N.components(g).where("label IS NOT NULL"), "label").where("bounds.east < 3").collect()}
+    assert got == {2: {"west": 0, "south": 0, "east": 2, "north": 1}}
+
+
+def test_band_text_names_and_colours(spark):
+    from gridlark.functions import bands as B
+
+    d = spark.createDataFrame([(1.0, 3.0), (1.0, -1.0), (None, 2.0)], "B4 double, B5 double")
+    got = [r[0] for r in d.select(B.expression("try_divide(b('B5') - b(\"B4\"), b('B5') + B4)")).collect()]
+    assert got == [0.5, None, None]
+    assert B.matching(["B1", "B10", "QA"], "B[0-9]+") == ["B1", "B10"]
+    assert [r[0] for r in d.select(B.palette(F.col("B5"), 0, 3, ["a", "b", "c"])).collect()] == ["c", "a", "c"]
+
+
+def test_kml_documents_parse(spark, tmp_path):
+    import glob
+    import xml.dom.minidom
+
+    from gridlark.operators import geometry as G
+    from gridlark.sources.tables import export_kml
+
+    export_kml(spark.range(3).select(F.concat(F.lit("a<&"), "id").alias("n"), G.rectangle(0, 0, 1, 1).alias("r")), f"file://{tmp_path}/k", "n", "r")
+    marks = [m for f in glob.glob(f"{tmp_path}/k/part-*") for m in xml.dom.minidom.parse(f).getElementsByTagName("Placemark")]
+    assert len(marks) == 3 and marks[0].getElementsByTagName("coordinates")[0].firstChild.data.split(" ")[-1] == "0.0,0.0"
