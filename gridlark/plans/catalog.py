@@ -237,7 +237,18 @@ def gamma_map(spark, d):
     return S.gamma_map(T.grid(spark, d, positive=True)).select("y", "x", r6("v"))
 
 
-@query()
+_PLACES = "p(i, dx, dy) AS (VALUES " + ", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate((dx, dy) for dy in (-2, 0, 2) for dx in (-2, 0, 2))) + ")"
+_OPPOSITE = [(1, 7), (6, 2), (3, 5), (0, 8)]
+_CODE = " + ".join(f"CASE WHEN g{i} = top THEN CASE WHEN m{a} - m4 > m4 - m{b} THEN {i + 1} ELSE {i + 5} END ELSE 0 END" for i, (a, b) in enumerate(_OPPOSITE))
+# The half windows of the eight directions.
+_SIDE = "CASE code WHEN 1 THEN dy >= 0 WHEN 2 THEN dx <= dy WHEN 3 THEN dx <= 0 WHEN 4 THEN dx + dy <= 0 WHEN 5 THEN dy <= 0 WHEN 6 THEN dx >= dy WHEN 7 THEN dx >= 0 WHEN 8 THEN dx + dy >= 0 ELSE false END"
+
+
+@query(f"""WITH {POS}, {_PLACES}, s AS ({_near('pos', 1, 'avg(b.v) AS mean, var_pop(b.v) AS var')}),
+n AS (SELECT a.y, a.x, {", ".join(f"max(CASE WHEN i = {i} THEN s.mean END) AS m{i}" for i in range(9))}, list_avg(list_slice(list_sort(list(s.var / (s.mean * s.mean))), 1, 5)) AS sigma FROM pos a CROSS JOIN p JOIN s ON s.y = a.y + dy AND s.x = a.x + dx GROUP BY a.y, a.x),
+g AS (SELECT *, {", ".join(f"abs(m{a} - m{b}) AS g{i}" for i, (a, b) in enumerate(_OPPOSITE))} FROM n), t AS (SELECT *, greatest(g0, g1, g2, g3) AS top FROM g), c AS (SELECT y, x, sigma, {_CODE} AS code FROM t WHERE m4 IS NOT NULL AND top IS NOT NULL),
+w AS (SELECT c.y, c.x, avg(b.v) AS dm, var_pop(b.v) AS dv, any_value(sigma) AS sigma FROM c CROSS JOIN generate_series(-3, 3) j(dy) CROSS JOIN generate_series(-3, 3) k(dx) JOIN pos b ON b.y = c.y + dy AND b.x = c.x + dx WHERE {_SIDE} GROUP BY c.y, c.x)
+SELECT y, x, round(dm + (dv - dm * dm * sigma) / (sigma + 1) / dv * (v - dm), 6) AS v FROM pos LEFT JOIN w USING (y, x)""")
 def refined_lee(spark, d):
     return S.refined_lee(T.grid(spark, d, positive=True)).select("y", "x", r6("v"))
 

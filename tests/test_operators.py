@@ -129,3 +129,26 @@ def test_kml_documents_parse(spark, tmp_path):
     export_kml(spark.range(3).select(F.concat(F.lit("a<&"), "id").alias("n"), G.rectangle(0, 0, 1, 1).alias("r")), f"file://{tmp_path}/k", "n", "r")
     marks = [m for f in glob.glob(f"{tmp_path}/k/part-*") for m in xml.dom.minidom.parse(f).getElementsByTagName("Placemark")]
     assert len(marks) == 3 and marks[0].getElementsByTagName("coordinates")[0].firstChild.data.split(" ")[-1] == "0.0,0.0"
+
+
+def test_tfrecord_frames_hold_the_rows(spark, tmp_path):
+    import glob
+    import struct
+
+    from gridlark.sources.tfrecord import example, export_tfrecord, masked_crc
+
+    assert masked_crc(b"") == 0xA282EAD8 and (masked_crc(b"123456789") - 0xA282EAD8) & 0xFFFFFFFF == (0xE3069283 >> 15 | 0xE3069283 << 17) & 0xFFFFFFFF
+    assert example({"a": 1}) == bytes.fromhex("0a0c0a0a0a0161120" + "51a030a0101")
+    export_tfrecord(spark.range(5).selectExpr("id", "array(array(1.5D, 2D), array(3D, 4D)) AS patch", "CAST(NULL AS string) AS s"), f"file://{tmp_path}/t")
+    got = []
+    for f in glob.glob(f"{tmp_path}/t/*.tfrecord"):
+        data, at = open(f, "rb").read(), 0
+        while at < len(data):
+            (n,) = struct.unpack("<Q", data[at : at + 8])
+            assert struct.unpack("<I", data[at + 8 : at + 12])[0] == masked_crc(data[at : at + 8])
+            body = data[at + 12 : at + 12 + n]
+            assert struct.unpack("<I", data[at + 12 + n : at + 16 + n])[0] == masked_crc(body)
+            got.append(body)
+            at += 16 + n
+    assert sorted(got) == sorted(example({"id": i, "patch": [1.5, 2.0, 3.0, 4.0]}) for i in range(5))
+    assert not glob.glob(f"{tmp_path}/t/_attempt*")
