@@ -7,8 +7,8 @@ part of the entity's information content -log p(e).  It is 1 where the term occu
 part reaches ``generalise`` for an entity is a span wherever it stands near that entity; from ``remove`` on it is
 removed, below it is generalised to a placeholder.
 
-Co-occurrence counts distinct texts and asks for ``support`` of them, so that copies alone reveal nothing; term
-frequencies count documents.  Null texts are empty.  Repeated rows each get a row of the result.  An empty table gives
+All four frequencies count distinct texts, so copies change nothing.  Every entity is scored, also one that a single text
+names: there each term near it that few other texts have reveals it.  Null texts are empty.  Repeated rows each get a row of the result.  An empty table gives
 no rows.  Extra columns are ignored.  Positions count code points; ends are exclusive.
 """
 
@@ -93,26 +93,28 @@ def near_terms(text: Column, spans: Column, reach: int) -> Column:
     return F.flatten(F.transform(spans, around))
 
 
-def find(docs: DataFrame, generalise: float = 0.7, remove: float = 0.95, support: int = 3, reach: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, generalise: float = 0.7, remove: float = 0.95, reach: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, ``keep``, base (array of kind, s, e, value) and terms (array of action, s, e,
     value); a term's action is remove or generalise."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", *keep, text.alias("t"))
     d = d.withColumn("base", F.concat(*[base_spans(F.col("t"), k) for k in PATTERNS]))
     d = d.withColumn("near", F.when(F.size("base") > 0, near_terms(F.col("t"), F.col("base"), reach)))
-    d = d.withColumn("same", F.when(F.size("base") > 0, F.md5(F.col("t").cast("binary"))))
+    d = d.withColumn("same", F.md5(F.col("t").cast("binary")))
     d = cut(d.drop("t").withColumn("uid", F.monotonically_increasing_id()))
-    n = d.count()
+    n = d.agg(F.count_distinct("same")).first()[0]
     entities = d.select("same", F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"]))))).alias("entity"))
-    df_entity = entities.distinct().groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
+    df_entity = entities.distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     near = d.select("uid", "same", F.explode("near").alias("x")).select("uid", "same", "x.entity", "x.term")
-    pairs = near.select("same", "entity", F.col("term.value").alias("word")).distinct().groupBy("entity", "word").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= support)
-    # Only terms that occur with some entity often enough need their frequency in the corpus.
+    pairs = near.select("same", "entity", F.col("term.value").alias("word")).distinct().groupBy("entity", "word").agg(F.count("*").alias("df_et"))
+    # Only terms that occur near some entity need their frequency in the corpus.
     candidates = cut(pairs.join(df_entity, "entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("word"))
+    once = docs.select(text.alias("t")).withColumn("same", F.md5(F.col("t").cast("binary"))).dropDuplicates(["same"])
+    words = once.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.lower))).alias("word"))
     wanted = candidates.select("word").distinct()
     df_word = words.groupBy("word").agg(F.count("*").alias("df_t"))
-    scored = candidates.join(df_word.join(wanted, "word"), "word")
+    # A term that the entity cuts off from a longer run of letters is no word of the corpus but for there.
+    scored = candidates.join(df_word.join(wanted, "word"), "word", "left").withColumn("df_t", F.greatest("df_t", "df_et"))
     information = F.log(F.lit(float(max(n, 1))) / F.col("df_e"))
     mutual = F.log(F.lit(float(max(n, 1))) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     part = F.when(information > 0, mutual / information).otherwise(0.0)

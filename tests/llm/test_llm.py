@@ -155,6 +155,16 @@ def test_terms_that_reveal(spark):
     assert "+49" not in clean[0] and "secretword" not in clean[0] and clean[10] == texts[10]
 
 
+def test_terms_near_entities_of_one_text(spark):
+    """An entity that one text names loses its rare terms and keeps the common ones; copies do not hide them."""
+    texts = [f"plainword {words(8, i)}" for i in range(60)] + ["plainword zanzibarish call +49 30 1234567 İstanbulite now"] * 40
+    rows = pii.find(docs_of(spark, texts)).collect()
+    for r in rows:
+        want = {("zanzibarish", "remove"), ("İstanbulite".lower(), "remove")} if r["doc_id"] >= 60 else set()
+        got = {(t["value"], t["action"]) for t in r["terms"]}
+        assert got - {("call", "remove")} == want
+
+
 def test_mix_meets_targets(spark):
     texts = [words(10 + i % 7, i) for i in range(300)]
     rows = mixing.mix(docs_of(spark, texts)).collect()
