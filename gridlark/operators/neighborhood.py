@@ -90,16 +90,34 @@ def shifted(grid: DataFrame, dx: int = 0, dy: int = 0) -> Column:
     return F.lead("v", dy).over(Window.partitionBy("x").orderBy("y")) if dy > 0 else F.lag("v", -dy).over(Window.partitionBy("x").orderBy("y"))
 
 
-def components(grid: DataFrame, max_rounds: int = 256) -> DataFrame:
-    """Labels of 8-connected regions of cells with v <> 0 (the least y, x of each), by repeated neighbourhood minima."""
+def _stars(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v), u > v, to u and the least node v that it reaches, by alternating large and small stars.
+
+    Rounds grow with the logarithm of the largest component; they end when the edges are stars, so none is cut short.
+    """
+    e = edges.distinct().checkpoint()
+    while True:
+        rows, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+        if rows == nodes and e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            return e
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        e = small.select("u", F.col("m").alias("v")).unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+
+
+def components(grid: DataFrame) -> DataFrame:
+    """Labels of 8-connected regions of cells with v <> 0 (the least y, x of each): cells make runs along rows, runs that
+    touch are edges, and stars of edges give each run the least one of its region."""
     key = F.col("y") * F.lit(1 << 31) + F.col("x")
-    cells = grid.where("v <> 0").select("y", "x", key.alias("v"))
-    for _ in range(max_rounds):
-        nxt = focal(cells, "min", square(1)).checkpoint()
-        if not nxt.join(cells.withColumnRenamed("v", "o"), ["y", "x"]).where("v <> o").limit(1).count():
-            break
-        cells = nxt
-    return cells.withColumnRenamed("v", "label")
+    row = Window.partitionBy("y").orderBy("x")
+    first = F.when(F.coalesce(F.col("x") - F.lag("x").over(row) != 1, F.lit(True)), key)
+    cells = grid.where("v <> 0").select("y", "x", first.alias("first")).select("y", "x", F.max("first").over(row).alias("run")).checkpoint()
+    below = cells.select((F.col("y") - 1).alias("y"), F.explode(F.array(*[F.col("x") + i for i in (-1, 0, 1)])).alias("x"), F.col("run").alias("u"))
+    least = _stars(below.join(cells, ["y", "x"]).select("u", F.col("run").alias("v")))
+    return cells.join(least, F.col("run") == F.col("u"), "left").select("y", "x", F.coalesce("v", "run").alias("label"))
 
 
 def neighborhood_bands(grid: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:

@@ -340,7 +340,7 @@ def rms_minmax_threshold(spark, d):
 
 @query()
 def homogeneous_islands(spark, d):
-    g = T.grid(spark, d).where("y < 40").select("y", "x", (F.col("v") > 0.1).cast("int").alias("v"))
+    g = T.grid(spark, d).select("y", "x", (F.col("v") > 0.1).cast("int").alias("v"))
     spark.sparkContext.setCheckpointDir(T_checkpoint(spark))
     return N.components(g).groupBy("label").agg(F.count("*").alias("cells")).where("cells >= 3")
 

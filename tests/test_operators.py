@@ -51,6 +51,43 @@ def test_islands(spark):
     assert sizes == [2, 2]
 
 
+def flood(cells):
+    """The label of each cell by a plain search: the least y, x of its region."""
+    out = {}
+    for c in sorted(cells):
+        todo = [c] if c not in out else []
+        while todo:
+            y, x = todo.pop()
+            if (y, x) in cells and (y, x) not in out:
+                out[(y, x)] = c[0] * (1 << 31) + c[1]
+                todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return out
+
+
+def test_islands_longer_than_any_round_bound(spark):
+    rows = [[0] * 41 for _ in range(31)]
+    for y in range(31):  # one winding path of over 600 steps, and a cell of its own
+        for x in range(39):
+            rows[y][x] = int(y % 2 == 0 or x == (38 if y % 4 == 1 else 0))
+    rows[5][40] = 1
+    g = grid(spark, rows)
+    want = flood({(y, x) for y, r in enumerate(rows) for x, v in enumerate(r) if v})
+    assert values(N.components(g), "label") == want and len(set(want.values())) == 2
+
+
+def test_homogeneous_islands_reads_the_whole_grid(spark):
+    from gridlark.plans import catalog
+    from gridlark.sources import tables as T
+
+    sf = "/root/testdata/sf0.001"
+    want = flood({(r["y"], r["x"]) for r in T.grid(spark, sf).where("v > 0.1").collect()})
+    sizes = {}
+    for label in want.values():
+        sizes[label] = sizes.get(label, 0) + 1
+    got = {r["label"]: r["cells"] for r in catalog.queries()["homogeneous_islands"](spark, sf).collect()}
+    assert got == {k: n for k, n in sizes.items() if n >= 3} and max(got) >= 40 * (1 << 31)
+
+
 def test_folds_partition_the_rows(spark):
     f = E.kfold(spark.range(7).withColumnRenamed("id", "k"), "k", 3)
     assert sorted(r["n"] for r in f.groupBy("fold").agg(F.count("*").alias("n")).collect()) == [2, 2, 3]
