@@ -6,7 +6,8 @@ Strings that are equal must meet in one suffix array.  So every window of ``leng
 it where a hash of ``GRAM`` bytes is least.  Equal windows have equal anchors at equal offsets, and consecutive windows
 share theirs, which makes a run of windows.  Runs whose anchor hash occurs once in the corpus cannot hold a repeated
 window.  The segments of the other runs are dealt out by anchor hash, equal segments being counted and kept once; where
-an anchor has very many runs, the run is cut into parts and dealt out by what all windows of the part share.  A task
+an anchor has very many runs, the run is cut into parts and dealt out by what all windows of the part share.  Where the
+distinct segments of one key still have more bytes than an array may hold, each window goes by its own digest.  A task
 concatenates its segments up to a bound and builds their suffix array by two-stage sorting: only suffixes smaller than
 their successors are sorted directly, the others are induced by scanning the buckets of first bytes from the left.
 Windows whose common prefix with a neighbour in the array reaches ``length`` are repeated.
@@ -30,6 +31,7 @@ from .common import BASE, BYTE_CODE, INV, cut, fixed_order_bound, id_or_none, mi
 GRAM = 32
 PLACE_BITS = 24  # of a window minimum; texts are read in pieces below 2 ** PLACE_BITS bytes
 PIECE = 400_000
+MAX_ARRAY = 1 << 21
 U = np.uint64
 
 
@@ -68,6 +70,7 @@ def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of ``t`` (under 2 ** 21 bytes) in the order of their first ``depth`` bytes, by two-stage sorting, and
     which of them share so many bytes with the one before.  Beyond the end of ``t`` zero bytes are read."""
     n = len(t)
+    assert n < MAX_ARRAY, n  # three ranks, and one more than the largest, fit a word
     greater = types(t)
     rank, d = names(t, depth)
     padded = np.concatenate((rank, np.zeros(depth, np.uint64)))
@@ -267,6 +270,34 @@ def _arrays(length: int, bound: int):
     return run
 
 
+def _digests(length: int):
+    """Segments (name, seg) to the digest of each of their windows: name, place, and the digest's halves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held, size = [], 0
+            for last, name, seg in zip(range(len(b) - 1, -1, -1), b["name"], b["seg"], strict=True):
+                held.append((name, [hashlib.md5(seg[i : i + length]).digest() for i in range(len(seg) - length + 1)]))
+                size += len(held[-1][1])
+                if size > 20_000 or not last:
+                    halves = np.frombuffer(b"".join(d for _, ds in held for d in ds), np.int64).reshape(-1, 2)
+                    yield pd.DataFrame({"name": [n for n, ds in held for _ in ds], "at": np.concatenate([np.arange(len(ds), dtype=np.int32) for _, ds in held]), "a": halves[:, 0], "b": halves[:, 1]})
+                    held, size = [], 0
+
+    return run
+
+
+def _by_window(segments: DataFrame, length: int) -> DataFrame:
+    """Distinct segments (name, n, seg) to name, starts, ends, however many share a key: windows meet by digest."""
+    digests = lambda rows: rows.select("name", "seg").mapInPandas(_digests(length), "name binary, at int, a bigint, b bigint")
+    # A segment kept for several is repeated as a whole, and so is each of its windows in the others.
+    kept, each = segments.where("n > 1"), digests(segments.where("n = 1"))
+    again = each.select("a", "b").unionByName(digests(kept).select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    hits = each.join(again, ["a", "b"]).groupBy("name").agg(F.sort_array(F.collect_list("at")).alias("w"))
+    hits = hits.select("name", F.array_except("w", F.transform("w", lambda x: x + 1)).alias("starts"), F.array_except("w", F.transform("w", lambda x: x - 1)).alias("ends"))
+    return hits.unionByName(kept.select("name", F.array(F.lit(0)).alias("starts"), F.array(F.octet_length("seg") - length).alias("ends")))
+
+
 def _remove(length: int):
     """Rows (doc_id, text, sig, windows, everything) to the result."""
 
@@ -295,7 +326,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 350_000, max_broadcast: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, parts: int = 8, array_bytes: int = 350_000, key_bytes: int = 1_500_000, max_broadcast: int = 200_000) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte offsets)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -306,14 +337,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, par
     runs = found.join(reps, ["sig", "doc_id"]).select("doc_id", F.explode(F.arrays_zip("h", "p", "span", "a")).alias("r")).select("doc_id", "r.*")
     place = F.xxhash64("doc_id", "p")
     again = runs.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y")
-    again = again.select("h", (F.col("n") > hot_runs).alias("hot"))
-    chosen = cut(runs.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot")).alias("r")).select("doc_id", "r.h", "r.p", "r.span", "r.a", "r.hot"))
-    chosen_rows, chosen_runs = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0))).first()
-    texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_runs, max_broadcast), "doc_id").select("doc_id", "text", "h", "p", "span", "a", "hot")
-    segments = texts.mapInPandas(_segments(length, parts, True), "name binary, key bigint, seg binary")
+    # Only keys of anchors with many runs can exceed key_bytes: a run has fewer than 2 * length bytes.
+    hot, many = F.col("n") > hot_runs, F.col("n") > key_bytes // (2 * length)
+    again = again.select("h", hot.alias("hot"), (hot | many).alias("many"))
+    chosen = cut(runs.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot", "many")).alias("r")).select("doc_id", "r.h", "r.p", "r.span", "r.a", "r.hot", "r.many"))
+    chosen_rows, chosen_runs, any_many = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0)), F.max(F.array_contains("many", True))).first()
+    texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_runs, max_broadcast), "doc_id").select("doc_id", "text", "h", "p", "span", "a", "hot", "many")
+    heavy = texts.where(F.array_contains("many", True)).withColumn("r", F.filter(F.arrays_zip("h", "p", "span", "a", "hot", "many"), lambda r: r["many"])).select("doc_id", "text", "r.h", "r.p", "r.span", "r.a", "r.hot")
+    texts = texts.drop("many")
+    cut_up = lambda rows: rows.mapInPandas(_segments(length, parts, True), "name binary, key bigint, seg binary")
+    segments = cut_up(texts)
     segments = segments.groupBy("key", "name").agg(F.first("seg").alias("seg"), F.count("*").alias("n"))
+    if array_bytes + 2 * length + key_bytes >= MAX_ARRAY:
+        raise ValueError("array_bytes and key_bytes exceed what one array can hold")
     n_parts = max(2 * spark.sparkContext.defaultParallelism, chosen_rows // 2000)
-    arrays = segments.repartition(n_parts, "key").sortWithinPartitions("key").mapInPandas(_arrays(length, array_bytes), "name binary, starts array<int>, ends array<int>")
+    n_over = 0
+    if any_many:
+        sizes = cut_up(heavy).groupBy("key", "name").agg(F.max(F.octet_length("seg")).alias("size"))
+        over = cut(sizes.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > key_bytes).select("key"))
+        n_over = over.count()
+    small = segments.join(fixed_order_bound(over, n_over, max_broadcast), "key", "left_anti") if n_over else segments
+    arrays = small.repartition(n_parts, "key").sortWithinPartitions("key").mapInPandas(_arrays(length, array_bytes), "name binary, starts array<int>, ends array<int>")
+    if n_over:
+        large = cut_up(heavy).join(fixed_order_bound(over, n_over, max_broadcast), "key", "left_semi")
+        arrays = arrays.unionByName(_by_window(cut(large.groupBy("key", "name").agg(F.first("seg").alias("seg"), F.count("*").alias("n"))), length))
     arrays = arrays.groupBy("name").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     places = texts.mapInPandas(_segments(length, parts, False), "doc_id bigint, p int, name binary")
     windows = places.join(arrays, "name").select("doc_id", "p", F.explode(F.arrays_zip("starts", "ends")).alias("w"))

@@ -108,6 +108,31 @@ def test_repeats_are_removed(spark, hot):
         assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_keys_beyond_an_array_are_split(spark, monkeypatch, hot):
+    """Many texts share a passage in different surroundings, more than an array may hold of one key."""
+    passage = words(150, 5)
+    texts = [words(60, 100 + i) + " " + passage + " " + words(60, 300 + i) for i in range(30)] + [passage, words(200, 1)]
+    raw = [t.encode() for t in texts]
+    seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    split, by_window = [], suffix_dedup._by_window
+    monkeypatch.setattr(suffix_dedup, "_by_window", lambda segments, length: split.append(segments.count()) or by_window(segments, length))
+    rows = suffix_dedup.remove_repeats(docs_of(spark, texts), hot_runs=hot, array_bytes=2000, key_bytes=4000).collect()
+    assert split and split[0] > 1
+    for r in rows:
+        t = raw[r["doc_id"]]
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        assert (r["n_removed"], r["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())
+
+
+def test_arrays_refuse_what_ranks_cannot_hold():
+    with pytest.raises(AssertionError):
+        suffix_dedup.suffix_array(np.zeros(1 << 21, np.uint8), 400)
+
+
 def test_leaks(spark):
     b = bench(spark, [(1, "The train leaves Paris at 9 and needs 12 hours to reach the far coast of this large country"), (2, words(30, 3))])
     texts = [words(50, 1) + " " + words(30, 3) + " " + words(50, 2), words(40, 4) + ". The train leaves London at 4 and needs 17 hours to reach the far coast of this large country. " + words(40, 6), words(100, 7)]
