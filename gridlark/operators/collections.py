@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.operators.neighborhood import box_stats, shifted
+
 
 def reduce_collection(df: DataFrame, key: list[str], v: str = "v") -> DataFrame:
     return df.groupBy(*key).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
@@ -20,6 +25,14 @@ def quality_mosaic(df: DataFrame, key: list[str], quality: list[str], bands: lis
     return df.where(F.col(quality[0]).isNotNull()).groupBy(*key).agg(best.alias("best")).select(*key, "best.*")
 
 
+def least_cloudy_composite(df: DataFrame, key: list[str], cloud: str, reach: float, percents: list[float], v: str = "v") -> DataFrame:
+    """Percentiles of each pixel's values whose cloud score is within ``reach`` of its least one; rows without a value or a
+    score count nowhere."""
+    seen = df.where(F.col(v).isNotNull() & F.col(cloud).isNotNull())
+    clear = seen.withColumn("_least", F.min(cloud).over(Window.partitionBy(*key))).where(F.col(cloud) <= F.col("_least") + reach)
+    return percentile_composite(clear, key, percents, v)
+
+
 def latest_mosaic(df: DataFrame, key: list[str], order: list[str], v: str = "v") -> DataFrame:
     return df.where(F.col(v).isNotNull()).groupBy(*key).agg(F.max_by(v, F.struct(*order)).alias(v))
 
@@ -30,11 +43,13 @@ def coarser(grid: DataFrame, factor: int) -> DataFrame:
 
 
 def terrain(grid: DataFrame, cell: float = 1.0) -> DataFrame:
-    """y, x, slope and aspect in radians, from central differences; NULL where a neighbour is missing."""
-    across, down = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
-    gx = (F.lead("v").over(across) - F.lag("v").over(across)) / (2 * cell)
-    gy = (F.lead("v").over(down) - F.lag("v").over(down)) / (2 * cell)
-    g = grid.withColumns({"gx": gx, "gy": gy})
+    """y, x, slope and aspect in radians, from Horn's weighted differences over the eight neighbours; NULL where one of
+    them is masked or missing."""
+    g = grid.withColumns({"_w": shifted(dx=-1), "_e": shifted(dx=1)})
+    g = g.withColumns({"_d": F.col("_e") - F.col("_w"), "_s": F.col("_w") + 2 * F.col("v") + F.col("_e")})
+    gx = (shifted(dy=-1, v="_d") + 2 * F.col("_d") + shifted(dy=1, v="_d")) / (8 * cell)
+    gy = (shifted(dy=1, v="_s") - shifted(dy=-1, v="_s")) / (8 * cell)
+    g = g.withColumns({"gx": gx, "gy": gy})
     return g.select("y", "x", F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("slope"), F.atan2("gy", "gx").alias("aspect"))
 
 
@@ -45,9 +60,8 @@ def hillshade(grid: DataFrame, azimuth: float, zenith: float) -> DataFrame:
 
 
 def shift_difference(grid: DataFrame) -> DataFrame:
-    """The mean of (left - v) and (up - v); NULL at the first row and column."""
-    left = F.lag("v").over(Window.partitionBy("y").orderBy("x"))
-    up = F.lag("v").over(Window.partitionBy("x").orderBy("y"))
+    """The mean of (left - v) and (up - v); NULL where either neighbour is masked or missing."""
+    left, up = shifted(dx=-1), shifted(dy=-1)
     return grid.select("y", "x", ((left - F.col("v") + up - F.col("v")) / 2).alias("noise"))
 
 
@@ -57,22 +71,33 @@ def doy_series(df: DataFrame, region: Column) -> DataFrame:
     return pixels.groupBy("doy", "region").agg(F.avg("v").alias("mean"), F.count("*").alias("pixels"))
 
 
-def multitemporal_ratio(df: DataFrame, before_days: int, after_days: int) -> DataFrame:
-    """mean_i times the average of v_j / mean_j over images of the same orbit in [t - before, t + after)."""
-    image = df.groupBy("event_type", "day").agg(F.avg("v").alias("m"))
-    r = df.join(image, ["event_type", "day"]).withColumn("ratio", F.try_divide("v", "m")).withColumn("t", F.datediff("day", F.lit("1970-01-01")).cast("long"))
-    window = Window.partitionBy("event_type", "user_id").orderBy("t").rangeBetween(-before_days, after_days - 1)
-    return r.select("event_type", "day", "user_id", (F.col("m") * F.avg("ratio").over(window)).alias("v"))
+def multitemporal_ratio(df: DataFrame, radius: int, before_days: int, after_days: int, orbit: str = "orbit", time: str = "day") -> DataFrame:
+    """Images (orbit, time, y, x, v) without speckle: m times the average of v / m over images of the same orbit in
+    [t - before, t + after), where m is the mean of the cell's square neighbourhood in each image."""
+    local = box_stats(df, radius, by=(orbit, time)).withColumnRenamed("mean", "m")
+    r = local.withColumn("ratio", F.try_divide("v", "m")).withColumn("t", F.datediff(time, F.lit("1970-01-01")).cast("long"))
+    window = Window.partitionBy(orbit, "y", "x").orderBy("t").rangeBetween(-before_days, after_days - 1)
+    return r.select(orbit, time, "y", "x", (F.col("m") * F.avg("ratio").over(window)).alias("v"))
 
 
 #: Weights of a quadratic fit over 11 points, times 429.
 SMOOTH = [-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36]
 
 
-def savitzky_golay(series: DataFrame) -> DataFrame:
-    """series (key, v) in order of t: t, smooth.  The ends are mirrored about the first and the last value; a series is one
-    group, ordered by its row number."""
-    half = len(SMOOTH) // 2
+def fit_weights(window: int, order: int, derivative: int = 0) -> list[float]:
+    """What each of ``window`` points (odd) adds to the derivative, at the middle one, of a polynomial fit to them."""
+    if window % 2 == 0 or order >= window or derivative > order:
+        raise ValueError("an odd window, longer than the order, and a derivative within the order are needed")
+    places = np.arange(window) - window // 2
+    rows = np.linalg.pinv(np.vander(places, order + 1, increasing=True).astype(float))
+    return [float(w) * math.factorial(derivative) for w in rows[derivative]]
+
+
+def savitzky_golay(series: DataFrame, window: int = 11, order: int = 2, derivative: int = 0) -> DataFrame:
+    """series (series, t, v) in order of t: series, t, smooth.  The ends are mirrored about the first and the last value; a
+    series is one group, ordered by its row number.  Series shorter than the window give NULL where it does not fit."""
+    weights = fit_weights(window, order, derivative)
+    half = window // 2
     numbered = series.select("series", "t", "v", F.row_number().over(Window.partitionBy("series").orderBy("t")).alias("i"))
     ends = numbered.groupBy("series").agg(F.max("i").alias("n"), F.min_by("v", "i").alias("first"), F.max_by("v", "i").alias("last"))
     j = numbered.join(ends, "series")
@@ -80,9 +105,9 @@ def savitzky_golay(series: DataFrame) -> DataFrame:
     tail = j.where(F.col("i").between(F.col("n") - half, F.col("n") - 1)).select("series", (2 * F.col("n") - F.col("i")).alias("i"), (F.col("last") + F.abs(F.col("v") - F.col("last"))).alias("v"))
     body = j.select("series", "i", "v", "t").unionByName(head.withColumn("t", F.lit(None).cast("string"))).unionByName(tail.withColumn("t", F.lit(None).cast("string")))
     w = Window.partitionBy("series").orderBy("i")
-    at = lambda k: F.lag("v", -k).over(w) if k < 0 else F.lead("v", k).over(w)
-    total = sum((at(k - half) * c for k, c in enumerate(SMOOTH) if k != half), F.col("v") * SMOOTH[half])
-    return body.withColumn("smooth", total / sum(SMOOTH)).where(F.col("t").isNotNull()).select("series", "t", "smooth")
+    at = lambda k: F.max("v").over(w.rangeBetween(k, k))
+    total = sum((at(k - half) * c for k, c in enumerate(weights) if k != half), F.col("v") * weights[half])
+    return body.withColumn("smooth", total).where(F.col("t").isNotNull()).select("series", "t", "smooth")
 
 
 def cubic_weights(factor: int) -> list[tuple[int, float, bool]]:

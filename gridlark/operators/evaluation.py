@@ -55,8 +55,10 @@ def accuracies(matrix: DataFrame) -> DataFrame:
 
 
 def uniform(key: Column, seed: int = 0) -> Column:
-    """A uniform number in [0, 1) that depends on the key and seed alone."""
-    return F.pmod(key * 1103515245 + seed * 12345, F.lit(2147483648)) / 2147483648.0
+    """A uniform number in [0, 1) from 52 bits of a digest of the seed and the key (of any type): the same on every run,
+    and independent between seeds.  A null key has its own number."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def kfold(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:

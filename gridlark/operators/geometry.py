@@ -116,9 +116,9 @@ def reduce_regions(grid: DataFrame, features: DataFrame, key: str, aggregates: d
     return features.select(key).join(got, key, "left")
 
 
-def sample_pixels(grid: DataFrame, n: int, seed: int = 0, width: int = 1 << 20) -> DataFrame:
+def sample_pixels(grid: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` unmasked cells by a uniform of the cell's place; the same cells on every run."""
-    u = uniform(F.col("y") * width + F.col("x"), seed)
+    u = uniform(F.concat_ws(":", "y", "x"), seed)
     return grid.where(F.col("v").isNotNull()).withColumn("random", u).orderBy("random", "y", "x").limit(n)
 
 

@@ -61,18 +61,50 @@ def covariance(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.array(row[:n], dtype=float), cov
 
 
+def array_covariance(df: DataFrame, column: str) -> DataFrame:
+    """i, j, c: the population covariance of each pair of bands (i <= j) of an array column, by partial aggregation."""
+    each = F.posexplode(F.col(column).cast("array<double>"))
+    a = df.select(F.col(column).alias("_e"), each.alias("i", "a"))
+    pairs = a.select("i", "a", F.posexplode(F.slice(F.col("_e").cast("array<double>"), F.col("i") + 1, F.size("_e"))).alias("k", "b"))
+    return pairs.groupBy(F.col("i").cast("long").alias("i"), (F.col("i") + F.col("k")).cast("long").alias("j")).agg(F.covar_pop("a", "b").alias("c"))
+
+
+def moments(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """Mean and population variance of each band of an array column."""
+    rows = df.select(F.posexplode(column).alias("i", "e")).groupBy("i").agg(F.avg("e"), F.var_pop("e")).orderBy("i").collect()  # a row a band
+    return [r[1] for r in rows], [r[2] for r in rows]
+
+
+def covariance_of(df: DataFrame, column: str) -> np.ndarray:
+    """The covariance of an array column's bands as a matrix."""
+    rows = array_covariance(df, column).collect()  # a number for each pair of bands
+    out = np.zeros((max((r["j"] for r in rows), default=-1) + 1,) * 2)
+    for i, j, c in rows:
+        out[i, j] = out[j, i] = c
+    return out
+
+
+def array_noise_fraction(df: DataFrame, column: str, noise: str) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """(means, rotation, eigenvalues), as ``minimum_noise_fraction``, of all bands of an array column."""
+    return (moments(df, column)[0], *_noise_rotation(covariance_of(df, noise), covariance_of(df, column)))
+
+
 def minimum_noise_fraction(df: DataFrame, columns: list[str], noise: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, rotation, eigenvalues): whitens by the noise columns' covariance, then rotates to falling variance; the
     largest entry of each direction is positive."""
     _, noise_cov = covariance(df, noise)
+    means, cov = covariance(df, columns)
+    return (means, *_noise_rotation(noise_cov, cov))
+
+
+def _noise_rotation(noise_cov: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, vec = np.linalg.eigh(noise_cov)
     white = vec / np.sqrt(np.maximum(values, 1e-12))
-    means, cov = covariance(df, columns)
     lam, rot = np.linalg.eigh(white.T @ cov @ white)
     order = np.argsort(-lam)
     rotation = white @ rot[:, order]
     rotation *= np.sign(rotation[np.abs(rotation).argmax(axis=0), range(rotation.shape[1])])
-    return means, rotation, lam[order]
+    return rotation, lam[order]
 
 
 def project(columns: list[str], means: np.ndarray, rotation: np.ndarray) -> list[Column]:

@@ -1,4 +1,5 @@
-"""Neighbourhood operators on pixel tables (y, x, v).
+"""Neighbourhood operators on pixel tables (y, x, v); a table of several images has columns ``by`` that tell them apart, and
+no neighbourhood crosses from one to another.
 
 Square windows of sums run as two window passes (along rows, then along columns): each cell is read once a pass however
 large the window.  Any other kernel deals each cell to the cells it reaches, which partial aggregation shrinks before
@@ -10,52 +11,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.functions.kernels import Kernel, square
+from gridlark.functions.kernels import Kernel, circle, square
 
 
-def box_stats(grid: DataFrame, radius: int, v: str = "v") -> DataFrame:
+By = tuple[str, ...]
+
+
+def centred(grid: DataFrame, v: str, by: By = ()) -> DataFrame:
+    """The grid with ``_c``, the mean of the image: squares of what is left of it do not cancel where values are large."""
+    mean = grid.groupBy(*by).agg(F.avg(v).alias("_c"))
+    if not by:
+        return grid.crossJoin(F.broadcast(mean))  # one row
+    return grid.join(mean.select(*[F.col(b).alias(f"_{b}") for b in by], "_c"), [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]).drop(*[f"_{b}" for b in by])
+
+
+def box_stats(grid: DataFrame, radius: int, v: str = "v", by: By = ()) -> DataFrame:
     """y, x, v, n, mean, var (population) over the square window; masked and missing cells are skipped."""
-    row = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
-    col = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
-    sums = {"n": F.count(v), "s": F.sum(v), "q": F.sum(F.col(v) * F.col(v))}
-    a = grid.withColumns({f"_{k}": c.over(row) for k, c in sums.items()})
+    row = Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-radius, radius)
+    col = Window.partitionBy(*by, "x").orderBy("y").rangeBetween(-radius, radius)
+    d = F.col(v) - F.col("_c")
+    sums = {"n": F.count(d), "s": F.sum(d), "q": F.sum(d * d)}
+    a = centred(grid, v, by).withColumns({f"_{k}": c.over(row) for k, c in sums.items()})
     a = a.withColumns({f"_{k}": F.sum(f"_{k}").over(col) for k in sums})
     mean = F.try_divide(F.col("_s"), F.col("_n"))
-    out = a.withColumns({"n": F.col("_n"), "mean": mean, "var": F.greatest(F.lit(0.0), F.try_divide(F.col("_q"), F.col("_n")) - mean * mean)})
-    return out.drop("_n", "_s", "_q")
+    out = a.withColumns({"n": F.col("_n"), "mean": F.col("_c") + mean, "var": F.greatest(F.lit(0.0), F.try_divide(F.col("_q"), F.col("_n")) - mean * mean)})
+    return out.drop("_n", "_s", "_q", "_c")
 
 
-def reduce_kernel(grid: DataFrame, kernel: Kernel, aggregates: dict[str, Column]) -> DataFrame:
-    """y, x and aggregates of columns nv (a neighbour's value) and w (its weight) over the kernel's cells."""
+def reduce_kernel(grid: DataFrame, kernel: Kernel, aggregates: dict[str, Column], by: By = ()) -> DataFrame:
+    """by, y, x and aggregates of columns nv (a neighbour's value) and w (its weight) over the kernel's cells."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in kernel])
-    dealt = grid.select("y", "x", "v", F.explode(offsets).alias("k")).select((F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), F.col("v").alias("nv"), F.col("k.w").alias("w"))
-    reduced = dealt.groupBy("y", "x").agg(*[c.alias(n) for n, c in aggregates.items()])
-    return reduced.join(grid.select("y", "x"), ["y", "x"], "left_semi")
+    dealt = grid.select(*by, "y", "x", "v", F.explode(offsets).alias("k")).select(*by, (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), F.col("v").alias("nv"), F.col("k.w").alias("w"))
+    reduced = dealt.groupBy(*by, "y", "x").agg(*[c.alias(n) for n, c in aggregates.items()])
+    return reduced.join(grid.select(*by, "y", "x"), [*by, "y", "x"], "left_semi")
 
 
-def convolve(grid: DataFrame, kernel: Kernel) -> DataFrame:
-    return reduce_kernel(grid, kernel, {"v": F.sum(F.col("nv") * F.col("w"))})
+def convolve(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
+    return reduce_kernel(grid, kernel, {"v": F.sum(F.col("nv") * F.col("w"))}, by)
 
 
-def focal(grid: DataFrame, how: str, kernel: Kernel) -> DataFrame:
+def focal(grid: DataFrame, how: str, kernel: Kernel, by: By = ()) -> DataFrame:
     make = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "sum": F.sum}[how]
-    return reduce_kernel(grid, kernel, {"v": make("nv")})
+    return reduce_kernel(grid, kernel, {"v": make("nv")}, by)
 
 
-def erode(grid: DataFrame, kernel: Kernel) -> DataFrame:
-    return focal(grid, "min", kernel)
+def erode(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
+    return focal(grid, "min", kernel, by)
 
 
-def dilate(grid: DataFrame, kernel: Kernel) -> DataFrame:
-    return focal(grid, "max", kernel)
+def dilate(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
+    return focal(grid, "max", kernel, by)
 
 
-def opening(grid: DataFrame, kernel: Kernel) -> DataFrame:
-    return dilate(erode(grid, kernel), kernel)
+def opening(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
+    return dilate(erode(grid, kernel, by), kernel, by)
 
 
-def closing(grid: DataFrame, kernel: Kernel) -> DataFrame:
-    return erode(dilate(grid, kernel), kernel)
+def closing(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
+    return erode(dilate(grid, kernel, by), kernel, by)
 
 
 def morph_adjust(grid: DataFrame, first: Kernel, second: Kernel) -> DataFrame:
@@ -66,8 +79,8 @@ def morph_adjust(grid: DataFrame, first: Kernel, second: Kernel) -> DataFrame:
 
 
 def entropy(grid: DataFrame, kernel: Kernel, scale: int) -> DataFrame:
-    """Shannon entropy in bits of floor(v * scale) over the kernel's cells."""
-    coded = grid.select("y", "x", F.floor(F.col("v") * scale).alias("v"))
+    """Shannon entropy in bits of floor(v * scale) over the kernel's cells; masked cells are no values."""
+    coded = grid.where("v IS NOT NULL").select("y", "x", F.floor(F.col("v") * scale).alias("v"))
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy, _ in kernel])
     dealt = coded.select("y", "x", "v", F.explode(offsets).alias("k")).select((F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), "v")
     counts = dealt.groupBy("y", "x", "v").agg(F.count("*").alias("c"))
@@ -75,6 +88,24 @@ def entropy(grid: DataFrame, kernel: Kernel, scale: int) -> DataFrame:
     return sums.join(grid.select("y", "x"), ["y", "x"], "left_semi")
 
 
+def mask_low_entropy(grid: DataFrame, radius: int = 5, scale: int = 10_000, least: float = 3.2, grow: int = 5) -> DataFrame:
+    """Masks cells whose surroundings (a circle) have little entropy, and all cells within ``grow`` of such a cell."""
+    low = entropy(grid, circle(radius), scale).select("y", "x", (F.col("entropy") < least).cast("int").alias("v"))
+    bad = dilate(low, circle(grow)).withColumnRenamed("v", "bad")
+    return grid.join(bad, ["y", "x"], "left").withColumn("v", F.when(F.coalesce("bad", F.lit(0)) == 0, F.col("v"))).drop("bad")
+
+
+def patches_at(grid: DataFrame, points: DataFrame, radius: int, fill: float = 0.0) -> DataFrame:
+    """The points' rows (y, x and more) with the window around each as a patch in row order; masked and missing cells are
+    ``fill``.  Points ask for their cells, so cells far from any point are never dealt."""
+    places = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dx, dy, _ in square(radius)])
+    asked = points.withColumn("k", F.explode(places)).withColumns({"ny": F.col("y") + F.col("k.dy"), "nx": F.col("x") + F.col("k.dx")})
+    cells = grid.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"))
+    got = asked.join(cells, ["ny", "nx"], "left")
+    rows = F.sort_array(F.collect_list(F.struct("k.dy", "k.dx", F.coalesce("nv", F.lit(fill)).alias("v"))))
+    return got.groupBy(*points.columns).agg(F.transform(rows, lambda s: s["v"]).alias("patch"))
+
+
 def patches(grid: DataFrame, radius: int) -> DataFrame:
     """y, x and the window's values in row order; a full patch has (2 radius + 1) ** 2 of them."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy, _ in square(radius)])
@@ -83,11 +114,10 @@ def patches(grid: DataFrame, radius: int) -> DataFrame:
     return got.join(grid.select("y", "x"), ["y", "x"], "left_semi")
 
 
-def shifted(grid: DataFrame, dx: int = 0, dy: int = 0) -> Column:
-    """The value ``dx`` cells to the right and ``dy`` down, NULL where the lattice ends (a lattice without holes)."""
-    if dx:
-        return F.lead("v", dx).over(Window.partitionBy("y").orderBy("x")) if dx > 0 else F.lag("v", -dx).over(Window.partitionBy("y").orderBy("x"))
-    return F.lead("v", dy).over(Window.partitionBy("x").orderBy("y")) if dy > 0 else F.lag("v", -dy).over(Window.partitionBy("x").orderBy("y"))
+def shifted(dx: int = 0, dy: int = 0, v: str = "v", by: By = ()) -> Column:
+    """The value ``dx`` cells to the right or ``dy`` down (one of both), NULL where that cell is masked or missing."""
+    line, along, step = ("y", "x", dx) if dx else ("x", "y", dy)
+    return F.max(v).over(Window.partitionBy(*by, line).orderBy(along).rangeBetween(step, step))
 
 
 def _stars(edges: DataFrame) -> DataFrame:

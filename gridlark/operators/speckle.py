@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.kernels import Kernel, fixed, rotate
-from gridlark.operators.neighborhood import box_stats
+from gridlark.operators.neighborhood import box_stats, centred, shifted
 
 
 def gamma_map(grid: DataFrame, looks: float = 5, size: int = 3) -> DataFrame:
@@ -63,11 +63,10 @@ def refined_lee(grid: DataFrame, use_abs: bool = False) -> DataFrame:
 def perona_malik(grid: DataFrame, steps: int = 10, k: float = 3, method: int = 1, cut_every: int = 5) -> DataFrame:
     """Anisotropic diffusion: each step adds a fifth of the four differences, weighted down where they are steep.  Lineage
     is cut by checkpoints."""
-    across, down = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
     out = grid.select("y", "x", "v")
     for step in range(1, steps + 1):
         total = F.lit(0.0)
-        for near in (F.lag("v").over(across), F.lead("v").over(across), F.lag("v").over(down), F.lead("v").over(down)):
+        for near in (shifted(dx=-1), shifted(dx=1), shifted(dy=-1), shifted(dy=1)):
             d = near - F.col("v")
             c = F.exp(-d * d / k) if method == 1 else 1 / (1 + d * d / (k * k))
             total = total + F.coalesce(c * d, F.lit(0.0))
@@ -77,16 +76,26 @@ def perona_malik(grid: DataFrame, steps: int = 10, k: float = 3, method: int = 1
     return out
 
 
-def gap_fill(src: DataFrame, fill: DataFrame, radius: int = 10, least: int = 144) -> DataFrame:
-    """Fills NULL cells of ``src`` by a windowed regression of it on ``fill`` over their common cells.
-
-    A slope outside [1/3, 3] gives way to the ratio of standard deviations, one that is still outside to 1; a gap needs
-    ``least`` common neighbours.  Sums of the window make all statistics, in two window passes."""
-    j = fill.select("y", "x", F.col("v").alias("f")).join(src.select("y", "x", F.col("v").alias("s")), ["y", "x"], "full")
+def gap_fill_coarse(src: DataFrame, fill: DataFrame, radius: int = 2, least: int = 144, factor: int = 5) -> DataFrame:
+    """``gap_fill`` whose regression runs on medians of ``factor`` by ``factor`` cells; ``radius`` counts coarse cells, and
+    ``least`` the fine common cells of the coarse window."""
+    common = fill.select("y", "x", F.col("v").alias("f")).join(src.select("y", "x", F.col("v").alias("s")), ["y", "x"], "full")
     both = F.col("f").isNotNull() & F.col("s").isNotNull()
+    cell = lambda c: F.floor(F.col(c) / factor).alias(c)
+    medians = common.groupBy(cell("y"), cell("x")).agg(*[F.median(F.when(both, F.col(c))).alias(f"c{c}") for c in "fs"], *[F.median(c).alias(c) for c in "fs"], F.count(F.when(both, 1)).alias("m"))
+    line = _regression(medians, F.col("cf"), F.col("cs"), radius).withColumnRenamed("y", "cy").withColumnRenamed("x", "cx")
+    fine = common.withColumns({"cy": F.floor(F.col("y") / factor), "cx": F.floor(F.col("x") / factor)}).join(line, ["cy", "cx"], "left")
+    return fine.select("y", "x", F.coalesce(F.col("s"), F.when(F.col("near") >= least, F.col("f") * F.col("scale") + F.col("offset"))).alias("v"))
+
+
+def _regression(j: DataFrame, cf, cs, radius: int) -> DataFrame:
+    """y, x, near (cells with both, each counting its ``m``), and scale and offset that lead from f to s, from windows of
+    the grid ``j`` (y, x, f, s, m); ``cf`` and ``cs`` are the values where both are known."""
+    j = centred(j, "f").withColumnRenamed("_c", "_of").transform(lambda x: centred(x, "s")).withColumnRenamed("_c", "_os")
+    f, s, both = F.col("f") - F.col("_of"), F.col("s") - F.col("_os"), cf.isNotNull() & cs.isNotNull()
+    bf, bs = cf - F.col("_of"), cs - F.col("_os")
     only = lambda c: F.when(both, c)
-    f, s = F.col("f"), F.col("s")
-    parts = {"n": F.when(both, 1), "sf": only(f), "ss": only(s), "sff": only(f * f), "sfs": only(f * s), "nf": F.when(f.isNotNull(), 1), "af": f, "aff": f * f, "ns": F.when(s.isNotNull(), 1), "as_": s, "ass": s * s}
+    parts = {"n": only(F.lit(1)), "m": only(F.col("m")), "sf": only(bf), "ss": only(bs), "sff": only(bf * bf), "sfs": only(bf * bs), "nf": F.when(f.isNotNull(), 1), "af": f, "aff": f * f, "ns": F.when(s.isNotNull(), 1), "as_": s, "ass": s * s}
     row = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
     col = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
     w = j.withColumns({f"_{k}": c.cast("double") for k, c in parts.items()})
@@ -100,5 +109,15 @@ def gap_fill(src: DataFrame, fill: DataFrame, radius: int = 10, least: int = 144
     fine = lambda x: x.between(1 / 3, 3)
     scale = F.when(fine(F.col("slope")), F.col("slope")).when(fine(F.col("ratio")), F.col("ratio")).otherwise(1.0)
     offset = F.when(fine(F.col("slope")), (c("ss") - F.col("slope") * c("sf")) / c("n")).when(fine(F.col("ratio")), F.col("ms") - F.col("mf") * F.col("ratio")).otherwise(F.col("ms") - F.col("mf"))
-    filled = F.when(c("n") >= least, f * scale + offset)
-    return w.select("y", "x", F.coalesce(s, filled).alias("v"))
+    return w.select("y", "x", c("m").alias("near"), scale.alias("scale"), (offset + F.col("_os") - F.col("_of") * scale).alias("offset"))
+
+
+def gap_fill(src: DataFrame, fill: DataFrame, radius: int = 10, least: int = 144) -> DataFrame:
+    """Fills NULL cells of ``src`` by a windowed regression of it on ``fill`` over their common cells.
+
+    A slope outside [1/3, 3] gives way to the ratio of standard deviations, one that is still outside to 1; a gap needs
+    ``least`` common neighbours.  Sums of the window make all statistics, in two window passes."""
+    j = fill.select("y", "x", F.col("v").alias("f")).join(src.select("y", "x", F.col("v").alias("s")), ["y", "x"], "full")
+    line = _regression(j.withColumn("m", F.lit(1)), F.col("f"), F.col("s"), radius)
+    filled = F.when(F.col("near") >= least, F.col("f") * F.col("scale") + F.col("offset"))
+    return j.join(line, ["y", "x"]).select("y", "x", F.coalesce(F.col("s"), filled).alias("v"))

@@ -51,6 +51,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def uniform_sql(key: str, seed: int) -> str:
+    """SQL for the number that ``evaluation.uniform`` gives a key."""
+    return f"(('0x' || substr(md5('{seed}:' || coalesce(CAST({key} AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 day = lambda: F.col("day").cast("string").alias("day")
 
 
@@ -202,8 +207,8 @@ def containment_tag(spark, d):
 @query("WITH y AS (SELECT o_custkey, CAST(year(o_orderdate) AS BIGINT) AS yr, max(CAST(o_totalprice > 250000 AS INT)) AS hit FROM orders GROUP BY ALL), f AS (SELECT min(yr) AS first FROM y) SELECT o_custkey, CAST(max(hit) AS INTEGER) AS any_year, CAST(min(hit) AS INTEGER) AS all_years, CAST(max(CASE WHEN yr = first THEN hit ELSE 0 END) AS INTEGER) AS first_year FROM y, f GROUP BY ALL")
 def year_logic_or_and(spark, d):
     y = T.scan(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("yr")).agg(F.max((F.col("o_totalprice") > 250000).cast("int")).alias("hit"))
-    first = y.agg(F.min("yr")).first()[0]
-    return y.groupBy("o_custkey").agg(F.max("hit").alias("any_year"), F.min("hit").alias("all_years"), F.max(F.when(F.col("yr") == F.lit(first), F.col("hit")).otherwise(0)).alias("first_year"))
+    j = y.crossJoin(F.broadcast(y.agg(F.min("yr").alias("first"))))  # one row
+    return j.groupBy("o_custkey").agg(F.max("hit").alias("any_year"), F.min("hit").alias("all_years"), F.max(F.when(F.col("yr") == F.col("first"), F.col("hit")).otherwise(0)).alias("first_year"))
 
 
 # ---------------------------------------------------------------- neighbourhoods
@@ -259,9 +264,10 @@ def _diffuse(t: str) -> str:
     return f"SELECT y, x, v + 0.2::DOUBLE * ({terms}) AS v FROM (SELECT *, {', '.join(f'{q} AS {z}' for z, q in near.items())} FROM {t} WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))"
 
 
-@query(f"WITH {GRID}, a AS ({_diffuse('grid')}), b AS ({_diffuse('a')}) SELECT y, x, round(v, 6) AS v FROM b")
-def perona_malik_2(spark, d):
-    return S.perona_malik(T.grid(spark, d), 2).select("y", "x", r6("v"))
+@query(f"WITH {GRID}, a0 AS (SELECT * FROM grid), " + ", ".join(f"a{i + 1} AS ({_diffuse(f'a{i}')})" for i in range(10)) + " SELECT y, x, round(v, 6) AS v FROM a10")
+def perona_malik(spark, d):
+    T_checkpoint(spark)
+    return S.perona_malik(T.grid(spark, d)).select("y", "x", r6("v"))
 
 
 def _morph(t: str, f: str) -> str:
@@ -304,7 +310,10 @@ def shift_difference(spark, d):
     return C.shift_difference(T.grid(spark, d)).select("y", "x", r6("noise"))
 
 
-@query(f"WITH {GRID}, g AS (SELECT y, x, (lead(v) OVER (PARTITION BY y ORDER BY x) - lag(v) OVER (PARTITION BY y ORDER BY x)) / 2 AS gx, (lead(v) OVER (PARTITION BY x ORDER BY y) - lag(v) OVER (PARTITION BY x ORDER BY y)) / 2 AS gy FROM grid), t AS (SELECT y, x, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(gy, gx) AS aspect FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL) SELECT y, x, round(cos(radians(300.0::DOUBLE) - aspect) * sin(slope) * sin(radians(40.0::DOUBLE)) + cos(radians(40.0::DOUBLE)) * cos(slope), 6) AS shade FROM t")
+HORN = "g AS (SELECT a.y, a.x, sum(dx * (2 - abs(dy)) * b.v) / 8.0::DOUBLE AS gx, sum(dy * (2 - abs(dx)) * b.v) / 8.0::DOUBLE AS gy FROM grid a CROSS JOIN generate_series(-1, 1) p(dy) CROSS JOIN generate_series(-1, 1) q(dx) JOIN grid b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.y, a.x HAVING count(b.v) = 9)"
+
+
+@query(f"WITH {GRID}, {HORN}, t AS (SELECT y, x, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(gy, gx) AS aspect FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL) SELECT y, x, round(cos(radians(300.0::DOUBLE) - aspect) * sin(slope) * sin(radians(40.0::DOUBLE)) + cos(radians(40.0::DOUBLE)) * cos(slope), 6) AS shade FROM t")
 def hillshade(spark, d):
     return C.hillshade(T.grid(spark, d), 300.0, 40.0).select("y", "x", r6("shade"))
 
@@ -316,47 +325,49 @@ def laplacian_convolve(spark, d):
 
 
 @query(f"WITH {GRID}, s AS (SELECT y, x, CASE WHEN (y * 7 + x) % 11 <> 0 THEN 2 * v + 1 END AS v FROM grid), f AS (SELECT y, x, CASE WHEN (y + x * 3) % 13 <> 0 THEN v END AS v FROM grid), j AS (SELECT s.y, s.x, s.v AS s, f.v AS f FROM s JOIN f USING (y, x)), "
-    "n AS (SELECT a.y, a.x, a.s AS s0, a.f AS f0, count(CASE WHEN b.s IS NOT NULL AND b.f IS NOT NULL THEN 1 END) AS n, regr_slope(b.s, b.f) AS slope, regr_intercept(b.s, b.f) AS icept, avg(b.s) AS ms, avg(b.f) AS mf, stddev_pop(b.s) / stddev_pop(b.f) AS ratio FROM (SELECT j.*, j.y + dy AS ny, j.x + dx AS nx FROM j, generate_series(-3, 3) p(dy), generate_series(-3, 3) q(dx) WHERE j.s IS NULL) a JOIN j b ON b.y = ny AND b.x = nx GROUP BY a.y, a.x, a.s, a.f) "
-    "SELECT y, x, round(CASE WHEN n >= 20 THEN CASE WHEN slope BETWEEN 1/3.0::DOUBLE AND 3 THEN f0 * slope + icept WHEN ratio BETWEEN 1/3.0::DOUBLE AND 3 THEN f0 * ratio + ms - mf * ratio ELSE f0 + ms - mf END END, 6) AS v FROM n UNION ALL SELECT y, x, round(s, 6) FROM j WHERE s IS NOT NULL")
+    "n AS (SELECT a.y, a.x, a.s AS s0, a.f AS f0, count(CASE WHEN b.s IS NOT NULL AND b.f IS NOT NULL THEN 1 END) AS n, regr_slope(b.s, b.f) AS slope, regr_intercept(b.s, b.f) AS icept, avg(b.s) AS ms, avg(b.f) AS mf, stddev_pop(b.s) / stddev_pop(b.f) AS ratio FROM (SELECT j.*, j.y + dy AS ny, j.x + dx AS nx FROM j, generate_series(-10, 10) p(dy), generate_series(-10, 10) q(dx) WHERE j.s IS NULL) a JOIN j b ON b.y = ny AND b.x = nx GROUP BY a.y, a.x, a.s, a.f) "
+    "SELECT y, x, round(CASE WHEN n >= 144 THEN CASE WHEN slope BETWEEN 1/3.0::DOUBLE AND 3 THEN f0 * slope + icept WHEN ratio BETWEEN 1/3.0::DOUBLE AND 3 THEN f0 * ratio + ms - mf * ratio ELSE f0 + ms - mf END END, 6) AS v FROM n UNION ALL SELECT y, x, round(s, 6) FROM j WHERE s IS NOT NULL")
 def gap_fill(spark, d):
     g = T.grid(spark, d)
     src = g.withColumn("v", F.when((F.col("y") * 7 + F.col("x")) % 11 != 0, 2 * F.col("v") + 1))
     fill = g.withColumn("v", F.when((F.col("y") + F.col("x") * 3) % 13 != 0, F.col("v")))
-    return S.gap_fill(src, fill, radius=3, least=20).select("y", "x", r6("v"))
+    return S.gap_fill(src, fill).select("y", "x", r6("v"))
 
 
-@query(f"WITH {GRID}, o(dy, dx) AS (SELECT dy, dx FROM generate_series(-1, 1) p(dy), generate_series(-1, 1) q(dx)), s AS (SELECT a.y, a.x, string_agg(CAST(CAST(round(b.v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY dy, dx) AS patch, count(*) AS n FROM grid a, o JOIN grid b ON b.y = a.y + dy AND b.x = a.x + dx WHERE a.y % 25 = 0 GROUP BY a.y, a.x) SELECT y, x, patch FROM s WHERE n = 9")
+@query(f"WITH {GRID}, o(dy, dx) AS (SELECT dy, dx FROM generate_series(-1, 1) p(dy), generate_series(-1, 1) q(dx)), s AS (SELECT a.y, a.x, string_agg(CAST(CAST(round(b.v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY dy, dx) AS patch, count(*) AS n FROM grid a, o JOIN grid b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.y, a.x) SELECT y, x, patch FROM s WHERE n = 9")
 def patch_arrays(spark, d):
-    p = N.patches(T.grid(spark, d), 1).where((F.col("y") % 25 == 0) & (F.size("patch") == 9))
+    p = N.patches(T.grid(spark, d), 1).where(F.size("patch") == 9)
     return p.select("y", "x", F.array_join(F.transform("patch", lambda v: F.round(v * 1000).cast("long").cast("string")), ",").alias("patch"))
 
 
 @query(f"WITH {GRID}, s AS ({_near('grid', 1, 'stddev_pop(b.v) AS sd')}), m AS (SELECT min(sd) + 0.5::DOUBLE * (max(sd) - min(sd)) AS t FROM s) SELECT y, x, round(sd, 6) AS sd FROM s, m WHERE sd < t")
 def rms_minmax_threshold(spark, d):
     s = N.box_stats(T.grid(spark, d), 1).withColumn("sd", F.sqrt("var"))
-    low, high = s.agg(F.min("sd"), F.max("sd")).first()
-    return s.where(F.col("sd") < low + 0.5 * (high - low)).select("y", "x", r6("sd")) if low is not None else s.select("y", "x", r6("sd"))
+    j = s.crossJoin(F.broadcast(s.agg(F.min("sd").alias("low"), F.max("sd").alias("high"))))  # one row
+    return j.where(F.col("sd") < F.col("low") + 0.5 * (F.col("high") - F.col("low"))).select("y", "x", r6("sd"))
 
 
 @query()
 def homogeneous_islands(spark, d):
     g = T.grid(spark, d).select("y", "x", (F.col("v") > 0.1).cast("int").alias("v"))
-    spark.sparkContext.setCheckpointDir(T_checkpoint(spark))
+    T_checkpoint(spark)
     return N.components(g).groupBy("label").agg(F.count("*").alias("cells")).where("cells >= 3")
 
 
-def T_checkpoint(spark) -> str:
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return at or (got.get() if got.isDefined() else "file:///tmp/gridlark-checkpoints")
+def T_checkpoint(spark) -> None:
+    """Sees to a folder for checkpoints: the one the session names; else, one of the warehouse, which a cluster shares."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
 
 
 # ---------------------------------------------------------------- time series
 
 
-@query(f"WITH {COLL}, m AS (SELECT event_type, day, avg(v) AS m FROM coll GROUP BY ALL), r AS (SELECT event_type, day, user_id, m, v / nullif(m, 0) AS ratio FROM coll JOIN m USING (event_type, day)) SELECT CAST(a.day AS VARCHAR) AS day, a.event_type, a.user_id, round(any_value(a.m) * avg(b.ratio), 6) AS v FROM r a JOIN r b ON a.event_type = b.event_type AND a.user_id = b.user_id AND b.day >= a.day - 3 AND b.day < a.day + 3 GROUP BY a.day, a.event_type, a.user_id")
+@query(f"WITH {COLL}, p AS (SELECT *, user_id // 16 AS y, user_id % 16 AS x FROM coll), m AS (SELECT a.event_type, a.day, a.y, a.x, a.v, avg(b.v) AS m FROM p a JOIN p b ON a.event_type = b.event_type AND a.day = b.day AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY ALL), r AS (SELECT *, v / nullif(m, 0) AS ratio FROM m) SELECT CAST(a.day AS VARCHAR) AS day, a.event_type, a.y, a.x, round(any_value(a.m) * avg(b.ratio), 6) AS v FROM r a JOIN r b ON a.event_type = b.event_type AND a.y = b.y AND a.x = b.x AND b.day >= a.day - 3 AND b.day < a.day + 3 GROUP BY a.day, a.event_type, a.y, a.x")
 def multitemporal_ratio(spark, d):
-    return C.multitemporal_ratio(T.collection(spark, d), 3, 3).select(day(), "event_type", "user_id", r6("v"))
+    images = T.collection(spark, d).withColumns({"y": F.floor(F.col("user_id") / 16), "x": F.col("user_id") % 16})
+    return C.multitemporal_ratio(images, 2, 3, 3, orbit="event_type").select(day(), "event_type", "y", "x", r6("v"))
 
 
 @query("WITH s AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS t, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT t, v, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n, first_value(v) OVER (ORDER BY t) AS f, last_value(v) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM s), "
@@ -369,22 +380,22 @@ def savitzky_golay(spark, d):
 
 # ---------------------------------------------------------------- evaluation
 
-_ROC = f"{SCORES}, k AS (SELECT unnest(generate_series(0, 200)) / 200.0::DOUBLE AS cutoff), roc AS (SELECT cutoff, sum(CASE WHEN is_target = 1 AND score > cutoff THEN 1 ELSE 0 END) / sum(CASE WHEN is_target = 1 THEN 1 ELSE 0 END)::DOUBLE AS tpr, sum(CASE WHEN is_target = 0 AND score < cutoff THEN 1 ELSE 0 END) / sum(CASE WHEN is_target = 0 THEN 1 ELSE 0 END)::DOUBLE AS tnr FROM scores, k GROUP BY cutoff)"
+_ROC = f"{SCORES}, k AS (SELECT unnest(generate_series(0, 1000)) / 1000.0::DOUBLE AS cutoff), roc AS (SELECT cutoff, sum(CASE WHEN is_target = 1 AND score > cutoff THEN 1 ELSE 0 END) / sum(CASE WHEN is_target = 1 THEN 1 ELSE 0 END)::DOUBLE AS tpr, sum(CASE WHEN is_target = 0 AND score < cutoff THEN 1 ELSE 0 END) / sum(CASE WHEN is_target = 0 THEN 1 ELSE 0 END)::DOUBLE AS tnr FROM scores, k GROUP BY cutoff)"
 
 
 @query(f"WITH {_ROC} SELECT round(cutoff, 6) AS cutoff, round(tpr, 6) AS tpr, round(tnr, 6) AS tnr, round(1 - tnr, 6) AS fpr, round(sqrt((1 - tpr) ** 2 + (1 - tnr) ** 2), 6) AS dist FROM roc")
 def roc_curve(spark, d):
-    return E.roc(T.scores(spark, d), 200).select(*[r6(c) for c in ("cutoff", "tpr", "tnr", "fpr", "dist")])
+    return E.roc(T.scores(spark, d), 1000).select(*[r6(c) for c in ("cutoff", "tpr", "tnr", "fpr", "dist")])
 
 
 @query(f"WITH {_ROC}, l AS (SELECT tpr, 1 - tnr AS fpr, lag(tpr) OVER (ORDER BY cutoff) AS t0, lag(1 - tnr) OVER (ORDER BY cutoff) AS f0 FROM roc) SELECT round(abs(sum((fpr - f0) * (tpr + t0) / 2)), 6) AS auc FROM l")
 def roc_auc(spark, d):
-    return E.auc(E.roc(T.scores(spark, d), 200)).select(r6("auc"))
+    return E.auc(E.roc(T.scores(spark, d), 1000)).select(r6("auc"))
 
 
 @query(f"WITH {_ROC} SELECT round(cutoff, 6) AS cutoff, round(sqrt((1 - tpr) ** 2 + (1 - tnr) ** 2), 6) AS dist FROM roc ORDER BY sqrt((1 - tpr) ** 2 + (1 - tnr) ** 2), cutoff LIMIT 1")
 def roc_best(spark, d):
-    return E.best_cutoff(E.roc(T.scores(spark, d), 200)).select(r6("cutoff"), r6("dist"))
+    return E.best_cutoff(E.roc(T.scores(spark, d), 1000)).select(r6("cutoff"), r6("dist"))
 
 
 @query("SELECT CAST(quality AS BIGINT) AS actual, CAST(toxic AS BIGINT) AS predicted, count(*) AS n FROM labels GROUP BY ALL")
@@ -397,12 +408,12 @@ def accuracy(spark, d):
     return E.accuracies(E.confusion_matrix(T.scan(spark, d, "labels"), "quality", "toxic")).select("class", r6("producers"), r6("users"), r6("overall"))
 
 
-@query("SELECT doc_id, CASE WHEN ((doc_id * 1103515245 + 7 * 12345) % 2147483648) / 2147483648.0 < 0.7 THEN 'train' ELSE 'test' END AS part FROM labels")
+@query(f"SELECT doc_id, CASE WHEN {uniform_sql('doc_id', 7)} < 0.7 THEN 'train' ELSE 'test' END AS part FROM labels")
 def split_70_30(spark, d):
     return T.scan(spark, d, "labels").select("doc_id", F.when(E.uniform(F.col("doc_id"), 7) < 0.7, "train").otherwise("test").alias("part"))
 
 
-@query("WITH u AS (SELECT doc_id, ((doc_id * 1103515245 + 42 * 12345) % 2147483648) / 2147483648.0::DOUBLE AS random FROM labels), r AS (SELECT *, row_number() OVER (ORDER BY random, doc_id) AS rn, count(*) OVER () AS n FROM u) SELECT doc_id, round(random, 6) AS random, CAST(CASE WHEN rn <= 7 * (n // 7) THEN (rn - 1) // (n // 7) ELSE rn - 7 * (n // 7) - 1 END AS BIGINT) AS fold FROM r")
+@query(f"WITH u AS (SELECT doc_id, {uniform_sql('doc_id', 42)} AS random FROM labels), r AS (SELECT *, row_number() OVER (ORDER BY random, doc_id) AS rn, count(*) OVER () AS n FROM u) SELECT doc_id, round(random, 6) AS random, CAST(CASE WHEN rn <= 7 * (n // 7) THEN (rn - 1) // (n // 7) ELSE rn - 7 * (n // 7) - 1 END AS BIGINT) AS fold FROM r")
 def kfold_assign(spark, d):
     return E.kfold(T.scan(spark, d, "labels").select("doc_id"), "doc_id", 7).select("doc_id", r6("random"), "fold")
 
@@ -442,40 +453,33 @@ def array_sort_slice_mean(spark, d):
     return T.scan(spark, d, "embeddings").select("vec_id", r6("low5", F.aggregate(least, F.lit(0.0), lambda a, x: a + x) / F.size(least)), F.size("embedding").cast("long").alias("n"))
 
 
-def _four(spark, d):
-    return T.scan(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
+VECTORS = "e AS (SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS BIGINT) AS i, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings), m AS (SELECT i, avg(e) AS m, var_pop(e) AS v FROM e GROUP BY i)"
 
 
-_E4 = "e AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4)) + " FROM embeddings)"
-
-
-@query(f"WITH {_E4} SELECT " + ", ".join(f"round(covar_pop(e{i}, e{j}), 6) AS c{i}{j}" for i in range(4) for j in range(i, 4)) + " FROM e")
+@query(f"WITH {VECTORS} SELECT a.i, b.i AS j, round(covar_pop(a.e, b.e), 6) AS c FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
 def covariance_matrix(spark, d):
-    return _four(spark, d).agg(*[F.round(F.covar_pop(f"e{i}", f"e{j}"), 6).alias(f"c{i}{j}") for i in range(4) for j in range(i, 4)])
+    return M.array_covariance(T.scan(spark, d, "embeddings"), "embedding").select("i", "j", r6("c"))
 
 
-@query(f"WITH {_E4}, m AS (SELECT " + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) AS v{i}" for i in range(4)) + " FROM e), t AS (SELECT " + ", ".join(f"e{i} - m{i} AS t{i}" for i in range(4)) + " FROM e, m WHERE vec_id = 0) SELECT vec_id, round((" + " + ".join(f"(e{i} - m{i}) * t{i} / v{i}" for i in range(4)) + ") / (" + " + ".join(f"t{i} * t{i} / v{i}" for i in range(4)) + "), 6) AS mf FROM e, m, t")
+@query(f"WITH {VECTORS}, t AS (SELECT i, e - m AS t, v FROM e JOIN m USING (i) WHERE vec_id = 0) SELECT vec_id, round(sum((e - m) * t / t.v) / sum(t * t / t.v), 6) AS mf FROM e JOIN m USING (i) JOIN t USING (i) GROUP BY vec_id")
 def matched_filter(spark, d):
-    e = _four(spark, d)
-    names = [f"e{i}" for i in range(4)]
-    means, cov = M.covariance(e, names)
-    target = e.where("vec_id = 0").select(*names).first()
-    t = [float(a - b) for a, b in zip(target, means, strict=True)]
-    return e.select("vec_id", r6("mf", M.matched_filter([F.col(n) - float(m) for n, m in zip(names, means, strict=True)], t, [float(cov[i, i]) for i in range(4)])))
+    """The share of the first vector in each, all bands, with the bands' variances as the diagonal."""
+    e = T.scan(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    means, variances = M.moments(e, "e")
+    target = [a - b for a, b in zip(e.where("vec_id = 0").first()["e"], means, strict=True)]
+    bands = [F.get("e", F.lit(i)) - m for i, m in enumerate(means)]
+    return e.select("vec_id", r6("mf", M.matched_filter(bands, target, variances)))
 
 
 @query()
 def mnf_unmixing(spark, d):
-    """Noise-whitened bands, matched-filter score and infeasibility of each vector."""
-    e = _four(spark, d)
-    names = [f"e{i}" for i in range(4)]
-    noise = [F.col(f"e{i}") - F.col(f"e{(i + 1) % 4}") for i in range(4)]
-    with_noise = e.select("*", *[(c + F.col(f"e{i}") * 0.1).alias(f"n{i}") for i, c in enumerate(noise)])
-    means, rotation, values = M.minimum_noise_fraction(with_noise, names, [f"n{i}" for i in range(4)])
-    cols = M.project(names, means, rotation)
-    p = e.select("vec_id", *[c.alias(f"k{i}") for i, c in enumerate(cols)])
-    target = [float(x) for x in p.where("vec_id = 0").select("k0", "k1", "k2", "k3").first()]
-    ks, lam = [F.col(f"k{i}") for i in range(4)], [max(float(v), 1e-9) for v in values]
+    """Noise-whitened bands, matched-filter score and infeasibility of each vector, all bands."""
+    e = T.scan(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    noise = F.transform("e", lambda x, i: x - F.get("e", F.pmod(i + 1, F.size("e"))) + x * 0.1)
+    means, rotation, values = M.array_noise_fraction(e.withColumn("n", noise), "e", "n")
+    p = e.select("vec_id", M.matrix_times(rotation.T.tolist(), F.transform("e", lambda x, i: x - F.get(F.array(*map(F.lit, means)), i))).alias("k"))
+    target, lam = [float(x) for x in p.where("vec_id = 0").first()["k"]], [max(float(v), 1e-9) for v in values]
+    ks = [F.get("k", F.lit(i)) for i in range(len(lam))]
     out = p.withColumn("mf", M.matched_filter(ks, target, lam))
     return out.select("vec_id", r6("mf"), r6("infeasibility", M.infeasibility(ks, F.col("mf"), target, lam)))
 
@@ -487,7 +491,7 @@ def kmeans_7(spark, d):
 
 @query()
 def cart_bagging(spark, d):
-    return M.bagged_variance(T.scan(spark, d, "embeddings"), "vec_id", "embedding", "label", bags=3)
+    return M.bagged_variance(T.scan(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
 @query()
@@ -495,7 +499,7 @@ def rf_kfold(spark, d):
     return M.cross_validate(T.scan(spark, d, "embeddings"), "vec_id", "embedding", "label", 3, numTrees=5, seed=1)
 
 
-@query()
+@query(f"WITH p AS (SELECT id, {uniform_sql('id', 1)} AS x, {uniform_sql('id', 2)} AS y FROM range(1000) t(id)) SELECT id, round(x, 6) AS x, round(y, 6) AS y, n_name FROM p JOIN nation ON CAST(floor(x * 25) AS BIGINT) = n_nationkey")
 def random_points_in_regions(spark, d):
     """Seeded points over the unit square, tagged by the nation whose strip they fall in."""
     n = T.scan(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("strip"))

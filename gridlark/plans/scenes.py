@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.kernels import square
 from gridlark.operators import geometry as G
 from gridlark.operators import neighborhood as N
-from gridlark.plans.catalog import COLL, GRID, POS, _near, query, r6
+from gridlark.plans.catalog import COLL, GRID, POS, _near, query, r6, uniform_sql
 from gridlark.sources import tables as T
 
 
@@ -46,7 +46,7 @@ def input_selector(spark, d):
 
 
 def _u(seed: int) -> str:
-    return f"((id * 1103515245 + {seed} * 12345) % 2147483648) / 2147483648.0::DOUBLE"
+    return uniform_sql("id", seed)
 
 
 @query(f"WITH p AS (SELECT id, {_u(3)} AS x, {_u(4)} AS y FROM range(1000) t(id)), t AS (SELECT *, CAST(x < 0.3 AND y < 0.6 AS INT) AS inside FROM p), need AS (SELECT greatest(0, (sum(1 - inside) - sum(inside)) // 2) AS n FROM t), e AS (SELECT id, {_u(5)} * 0.3::DOUBLE AS x, {_u(6)} * 0.6::DOUBLE AS y FROM range(1000) t(id)) SELECT id, round(x, 6) AS x, round(y, 6) AS y, inside FROM t UNION ALL SELECT 1000 + id, round(x, 6), round(y, 6), 1 FROM e, need WHERE id < n")
@@ -55,8 +55,8 @@ def training_points(spark, d):
     west, south, east, north = 0.0, 0.0, 0.3, 0.6
     inside = (F.col("x") < east) & (F.col("y") < north)
     p = G.random_points(spark, 1000, 0.0, 0.0, 1.0, 1.0, seed=1).withColumn("inside", inside.cast("int"))
-    out, within = p.agg(F.sum(1 - F.col("inside")), F.sum("inside")).first()
-    extra = G.random_points(spark, max(0, (out - within) // 2), west, south, east, north, seed=2)
+    need = p.agg(F.floor((F.sum(1 - F.col("inside")) - F.sum("inside")) / 2).alias("need"))  # one row
+    extra = G.random_points(spark, 1000, west, south, east, north, seed=2).crossJoin(F.broadcast(need)).where("id < need")
     both = p.unionByName(extra.select((F.col("id") + 1000).alias("id"), "x", "y", F.lit(1).alias("inside")))
     return both.select("id", r6("x"), r6("y"), "inside")
 

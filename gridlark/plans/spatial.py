@@ -9,7 +9,7 @@ from gridlark.operators import collections as C
 from gridlark.operators import geometry as G
 from gridlark.operators import learning as M
 from gridlark.operators import neighborhood as N
-from gridlark.plans.catalog import BANDS, COLL, GRID, KEYS, K, query, r6
+from gridlark.plans.catalog import BANDS, COLL, GRID, HORN, KEYS, K, query, r6, uniform_sql
 from gridlark.sources import tables as T
 
 # A triangle for each vector, about the row of the grid that the vector is.
@@ -77,7 +77,7 @@ def clip_polygon(spark, d):
     return G.clip(T.grid(spark, d), G.ring(_FIXED)).select("y", "x", r6("v"))
 
 
-@query(f"WITH {GRID}, u AS (SELECT y, x, v, ((((y * 1048576 + x) % 2147483648) * 1103515245 + 7 * 12345) % 2147483648) / 2147483648.0::DOUBLE AS random FROM grid) SELECT y, x, round(v, 6) AS v, round(random, 9) AS random FROM u ORDER BY u.random, y, x LIMIT 200")
+@query(f"WITH {GRID}, u AS (SELECT y, x, v, {uniform_sql(chr(39).join(['y || ', ':', ' || x']), 7)} AS random FROM grid) SELECT y, x, round(v, 6) AS v, round(random, 9) AS random FROM u ORDER BY u.random, y, x LIMIT 200")
 def sample_pixels(spark, d):
     return G.sample_pixels(T.grid(spark, d), 200, seed=7).select("y", "x", r6("v"), F.round("random", 9).alias("random"))
 
@@ -104,7 +104,7 @@ def neighborhood_bands(spark, d):
     return N.neighborhood_bands(T.grid(spark, d), _NEAR).select("y", "x", *[r6(f"n{i}") for i in range(5)])
 
 
-@query(f"WITH {GRID}, g AS (SELECT y, x, v, (lead(v) OVER (PARTITION BY y ORDER BY x) - lag(v) OVER (PARTITION BY y ORDER BY x)) / 2 AS gx, (lead(v) OVER (PARTITION BY x ORDER BY y) - lag(v) OVER (PARTITION BY x ORDER BY y)) / 2 AS gy FROM grid) SELECT y, x, CAST(coalesce(degrees(atan(sqrt(gx * gx + gy * gy))) < 5, false) AS INT) AS flat, CAST(v > 0 AS INT) AS high FROM g")
+@query(f"WITH {GRID}, {HORN} SELECT grid.y, grid.x, CAST(coalesce(degrees(atan(sqrt(gx * gx + gy * gy))) < 5, false) AS INT) AS flat, CAST(v > 0 AS INT) AS high FROM grid LEFT JOIN g USING (y, x)")
 def terrain_masks(spark, d):
     g = T.grid(spark, d)
     flat = C.terrain(g).select("y", "x", F.coalesce(F.degrees("slope") < 5, F.lit(False)).cast("int").alias("flat"))
