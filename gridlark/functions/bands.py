@@ -87,3 +87,30 @@ def palette(c: Column, low: float, high: float, colours: list[str]) -> Column:
     """The colour of ``c`` among equal steps from low to high; values outside take the end colours."""
     step = F.floor((c - low) / (high - low) * len(colours)).cast("int")
     return F.get(F.array(*[F.lit(x) for x in colours]), F.greatest(F.lit(0), F.least(F.lit(len(colours) - 1), F.when(c.isNotNull(), step))))
+
+
+def rescaled(c: Column, low: float, high: float) -> Column:
+    """Where ``c`` lies between two values, as a share; ``low`` may be the larger."""
+    return (c - low) / (high - low)
+
+
+def cloud_score(blue: Column, green: Column, red: Column, nir: Column, swir1: Column, swir2: Column, thermal: Column) -> Column:
+    """How like a cloud a pixel is, 0 to 100: the least of what tests of brightness in the blue, the visible and the infrared
+    bands, of cold and of difference from snow say; masked where a band is."""
+    # The ranges of the published tests, for reflectances and kelvin.
+    tests = [rescaled(blue, 0.1, 0.3), rescaled(red + green + blue, 0.2, 0.8), rescaled(nir + swir1 + swir2, 0.3, 0.8), rescaled(thermal, 300.0, 290.0), rescaled(normalized_difference(green, swir1), 0.8, 0.6)]
+    known = sum((c.isNotNull().cast("int") for c in tests[1:]), tests[0].isNotNull().cast("int")) == len(tests)
+    return F.when(known, F.floor(100 * clamp(F.least(F.lit(1.0), *tests), 0.0, 1.0)))
+
+
+def clear(score: Column, most: float, bands: list[Column]) -> list[Column]:
+    """The bands, all masked where the score is over ``most`` or any band is masked."""
+    fine = score <= most
+    for b in bands:
+        fine = fine & b.isNotNull()
+    return [F.when(fine, b) for b in bands]
+
+
+def constants(*values: float, names: list[str] | None = None) -> list[Column]:
+    """Bands that are the same everywhere; the other operand gives the extent."""
+    return [F.lit(float(v)).alias(n) for v, n in zip(values, names or [f"constant_{i}" for i in range(len(values))], strict=True)]

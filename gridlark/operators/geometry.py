@@ -116,6 +116,16 @@ def reduce_regions(grid: DataFrame, features: DataFrame, key: str, aggregates: d
     return features.select(key).join(got, key, "left")
 
 
+def within(points: DataFrame, features: DataFrame, x: str, y: str, r: str = "ring") -> DataFrame:
+    """The points that lie in any of the features: points and the cells of the rings' bounds meet in an equi-join, and the
+    ring decides."""
+    b = features.select(F.col(r).alias("_r"), bounds(F.col(r)).alias("_b"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(f"_b.{lo}")), F.floor(F.col(f"_b.{hi}")))
+    cells = b.where(F.col("_b.west").isNotNull()).withColumn("_y", F.explode(span("south", "north"))).withColumn("_x", F.explode(span("west", "east")))
+    met = (F.floor(y) == F.col("_y")) & (F.floor(x) == F.col("_x")) & contains(F.col("_r"), F.col(x), F.col(y))
+    return points.join(cells.select("_r", "_y", "_x"), met, "left_semi")
+
+
 def sample_pixels(grid: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` unmasked cells by a uniform of the cell's place; the same cells on every run."""
     u = uniform(F.concat_ws(":", "y", "x"), seed)

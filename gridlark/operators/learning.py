@@ -28,6 +28,12 @@ def kmeans(df: DataFrame, column: str, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data).transform(data).drop("features")
 
 
+def kmeans_by(train: DataFrame, df: DataFrame, column: str, k: int, seed: int = 1) -> DataFrame:
+    """``df`` with the cluster of each row, of clusters learnt from other rows."""
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors(train, column))
+    return model.transform(vectors(df, column)).drop("features")
+
+
 def bagged_variance(df: DataFrame, key: str, column: str, label: str, bags: int = 10, share: float = 0.8, name: str = "cart") -> DataFrame:
     """key, variance of the classes that models of ``bags`` subsamples predict."""
     data = vectors(df, column).withColumn("label", F.col(label).cast("double"))

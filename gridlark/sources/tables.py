@@ -35,11 +35,11 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.to_date("ts").alias("day"), "event_type", "user_id").agg(F.avg("value").alias("v"), F.min("ts").alias("ts"))
 
 
-def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as pixels of four bands."""
+def bands(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """lineitem as pixels of four bands, with further columns."""
     li = scan(spark, sf_dir, "lineitem")
     names = {"l_quantity": "b1", "l_extendedprice": "b2", "l_discount": "b3", "l_tax": "b4"}
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *[F.col(k).alias(v) for k, v in names.items()])
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *more, *[F.col(k).alias(v) for k, v in names.items()])
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

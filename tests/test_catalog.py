@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridlark.plans import catalog, scenes, spatial  # noqa: F401 - add their queries to the catalog
+from gridlark.plans import catalog, chains, scenes, spatial  # noqa: F401 - add their queries to the catalog
 
 SF = "/root/testdata/sf0.001"
 
