@@ -30,14 +30,16 @@ def words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share.  Where the session names none it is a temporary one if all run in one
+    process, else one of the warehouse, which a cluster shares."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = sc._jsc.sc().getCheckpointDir()
         at = got.get() if got.isDefined() else None
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gridlark-")
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        at = "file://" + tempfile.mkdtemp(prefix="gridlark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
@@ -68,6 +70,14 @@ def none_again(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fixed_order_bound
+from .common import cut, fixed_order_bound, free_name
 from .line_quality import let
 
 # Words for units that can follow a number.
@@ -65,8 +65,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     """``docs`` (doc_id, text) and ``benchmark`` (item_id, text) to doc_id, item_id, n_windows, n_found, n_slots,
     consistency, exact for each document and item that it leaks."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
-    items = cut(items.select("item_id", "text", whole_windows(templates(F.col("text")), width, min_words).alias("w")))
-    asked = items.select("item_id", F.size("w").alias("n_windows"), F.explode("w").alias("x")).select("item_id", "n_windows", F.col("x.h").alias("h"), F.col("x.i").alias("b"))
+    # What stands before an item can make a name of its first word, so its first window is asked for in both forms.
+    behind = F.filter(whole_windows(templates(F.concat(F.lit("a "), "text")), width, min_words), lambda x: x["i"] == 1)
+    items = cut(items.select("item_id", "text", whole_windows(templates(F.col("text")), width, min_words).alias("w"), behind.alias("behind")))
+    first = F.transform(F.when(F.exists("w", lambda x: x["i"] == 0), F.col("behind")).otherwise(F.slice("behind", 1, 0)), lambda x: F.struct(x["h"].alias("h"), F.lit(0).alias("i")))
+    asked = items.select("item_id", F.size("w").alias("n_windows"), F.explode(F.array_union("w", first)).alias("x")).select("item_id", "n_windows", F.col("x.h").alias("h"), F.col("x.i").alias("b"))
     n_asked = asked.count()
     held = docs.select("doc_id", F.posexplode(window_hashes(templates(F.col("text")), width)).alias("d", "h"))
     met = cut(held.join(fixed_order_bound(asked, n_asked, max_broadcast), "h").select("doc_id", "item_id", "n_windows", "b", (F.col("d") - F.col("b")).alias("shift")))
@@ -91,5 +94,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 500_000, **options) -> DataFrame:
     """``docs`` without those that leak an item; a document whose id is null stays."""
-    bad = cut(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(fixed_order_bound(bad, bad.count(), max_broadcast), F.col("doc_id") == F.col("bad_id"), "left_anti")
+    i = free_name(docs, "bad_id")
+    bad = cut(leaks(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias(i)).distinct())
+    return docs.join(fixed_order_bound(bad, bad.count(), max_broadcast), F.col("doc_id") == F.col(i), "left_anti")

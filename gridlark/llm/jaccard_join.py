@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fixed_order_bound, id_or_none, mix, none_again, shingle_hashes, small_batches
+from .common import chunks, cut, fixed_order_bound, free_name, id_or_none, mix, none_again, shingle_hashes, small_batches
 from .graph import connected
 
 U = np.uint64
@@ -310,9 +310,10 @@ def _open(percent: int):
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, max_broadcast: int = 500_000, **options) -> DataFrame:
     """``docs`` with one document of each component, that of the least id; texts without words all stay."""
     found = components(docs, k, percent, **options)
-    kept = cut(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
-    n, repeated = kept.agg(F.count("*"), F.coalesce(F.max(F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rows"))), F.lit(0))).first()
-    out = docs.join(fixed_order_bound(kept.select("id"), n, max_broadcast), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    i = free_name(docs, "kept_id")
+    kept = cut(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
+    n, repeated = kept.agg(F.count("*"), F.coalesce(F.max(F.when((F.col("n") > 0) & F.col(i).isNotNull(), F.col("rows"))), F.lit(0))).first()
+    out = docs.join(fixed_order_bound(kept.select(i), n, max_broadcast), F.col("doc_id").eqNullSafe(F.col(i)), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if repeated > 1 else out
 
 
@@ -346,8 +347,8 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 128,
 
     # Every group's sets against its leader: what links with it is a cluster, any other set is one of its own.
     groups = reps.groupBy("gkey").agg(F.count("*").alias("members"), F.min(F.struct("spare", "rep")).alias("best"))
-    groups = groups.where("members > 1").select("gkey", F.col("best.rep").alias("leader"))
-    grouped = cut(reps.select("rep", "gkey").join(groups, "gkey").select("rep", "leader"))
+    groups = cut(groups.where("members > 1").select("gkey", F.col("best.rep").alias("leader")))
+    grouped = cut(reps.select("rep", "gkey").join(fixed_order_bound(groups, groups.count(), max_broadcast), "gkey").select("rep", "leader"))
     leaders = sets_of(grouped.where("rep = leader")).select("leader", F.col("tokens").alias("leader_tokens"))
     held = sets_of(grouped.where("rep <> leader")).join(leaders, "leader").select("rep", "leader", "tokens", "leader_tokens")
     near = cut(held.mapInPandas(_star(percent), "rep bigint, leader bigint, near int").where("near > 0").distinct())

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fixed_order_bound, words
+from .common import cut, fixed_order_bound, free_name, words
 
 #: Hex digits of the seeded key that part a source into buckets; only one bucket of each source is cut by its target.
 BUCKET_DIGITS = 3
@@ -67,11 +67,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def repeat(docs: DataFrame, max_broadcast: int = 500_000, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes its document, the last of a source rounded to a whole one."""
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("n"))
-    taken = cut(taken.where("n > 0").select(F.col("doc_id").alias("id"), "n"))
-    chosen = docs.join(fixed_order_bound(taken, taken.count(), max_broadcast), F.col("doc_id").eqNullSafe(F.col("id")))
-    return chosen.withColumn("again", F.explode(F.sequence(F.lit(1), "n"))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with each row as often as the mix takes its document, the last of a source rounded to a whole one.  Rows that
+    share an id (null ones too) are taken as often as the one taken most."""
+    i, n, again = (free_name(docs, x) for x in ("taken_id", "times", "again"))
+    taken = mix(docs.select("doc_id", "text", "source"), **options).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(n))
+    taken = cut(taken.where(F.col(n) > 0).withColumnRenamed("doc_id", i))
+    chosen = docs.join(fixed_order_bound(taken, taken.count(), max_broadcast), F.col("doc_id").eqNullSafe(F.col(i)))
+    return chosen.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])
 
 
 SQL = r"""
