@@ -2,11 +2,11 @@
 
 Records are ordered by a hash of their text, then by a hash of their id, so that equal texts stand side by side.  Key
 samples drawn with chances in proportion to size give the quantile boundaries of fine ranges; records are partitioned
-into those ranges, a range that is still too large is subdivided by further splitters from its own records, and the
-sums of the ranges then say where in the common order each record lies, and so its shard: shard ``i`` holds the
-records whose bytes lie in the ``i``-th of ``n_shards`` equal parts of all bytes.  Sizes are near equal: a shard departs
-from its part by no more than a record or a group at either end.  Records of equal text share a shard unless they
-weigh over ``whole_group`` of one, and then they are split by id.
+into those ranges, and a range that is still too large is subdivided by further splitters from its own records.  A shard
+is a run of whole ranges: a range goes to the shard in whose equal part of all bytes its middle lies.  Sizes are near
+equal: a shard departs from its part by half a range at either end.  Only a range over ``whole_group`` of a shard is
+divided between shards, by the places of its records; records of equal text share a shard unless they weigh more than
+that themselves, and then they are split by id.
 
 Null texts have no bytes and form one group; null ids sort first.  Repeated rows are records like any other.  An empty
 table gives no rows.  Extra columns are ignored.
@@ -53,7 +53,7 @@ def splitters(sample: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.nda
     return keys, seconds
 
 
-def shard(docs: DataFrame, n_shards: int = 24, seed: int = 0, ranges_per_shard: int = 16, draws_per_range: int = 48, rows_per_range: int = 1_000_000, whole_group: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 24, seed: int = 0, ranges_per_shard: int = 128, draws_per_range: int = 16, rows_per_range: int = 1_000_000, whole_group: float = 0.02, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, size, text_crc32, law, shard, slot, grown_shard, range_id and ``keep``.
 
     Size is UTF-8 bytes plus 8; slot numbers a shard's records from 0.  The samples gathered on the driver number about
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 0, ranges_per_shard:
         placed = rows.withColumn("range_id", _searcher(keys, seconds)("k", "d"))
         sums = placed.groupBy("range_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.partitionBy(F.lit(1)).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("range_id", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_offset"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_offset"))
+    offsets = sums.select("range_id", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte_offset"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row_offset"))
     inside = Window.partitionBy("range_id").orderBy("k", "d", "doc_id", "size")
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     group = Window.partitionBy("range_id", "k")
@@ -97,7 +97,8 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 0, ranges_per_shard:
     located = located.withColumns({"group_run": F.min("run").over(group), "group_bytes": F.sum("size").over(group)})
     located = located.join(offsets, "range_id")
     together = F.col("group_bytes") <= whole_group * total / n_shards
-    middle = F.col("byte_offset") + F.when(together, F.col("group_run") + F.col("group_bytes") / 2).otherwise(F.col("run") + F.col("size") / 2)
+    whole = F.col("bytes") <= whole_group * total / n_shards
+    middle = F.col("byte_offset") + F.when(whole, F.col("bytes") / 2).when(together, F.col("group_run") + F.col("group_bytes") / 2).otherwise(F.col("run") + F.col("size") / 2)
     numbered = located.withColumns({"shard": F.least(F.floor(middle * n_shards / total), F.lit(n_shards - 1)).cast("int"), "at": F.col("row_offset") + F.col("rank")})
     numbered = cut(numbered.select("doc_id", *keep, "size", "text_crc32", "shard", "at", "range_id"))
     first = numbered.groupBy("shard").agg(F.min("at").alias("first_at"))
