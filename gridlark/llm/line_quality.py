@@ -2,8 +2,8 @@
 
 Lines are normalised (ASCII lower case, digits as 0, white space runs as one space) and hashed.  For each host the
 number of distinct documents that hold a line is counted, where documents of equal text are one document.  A line that
-more than ``max_docs`` documents of its host hold, and more than ``max_share`` of them, is removed; a document that
-keeps less than ``min_left`` of its words is rejected.
+more than ``max_docs`` documents of its host hold is removed, whatever the size of the host; a document that keeps less than
+``min_left`` of its words is rejected.
 
 Null texts have no words and fail the base rules; a null host is a host of its own.  Repeated rows are one document to
 the line counts and each get a row of the result.  An empty table gives no rows.  Extra columns are ignored.
@@ -52,7 +52,7 @@ def line_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(x, f"[{SPACE}]+", " "))
 
 
-def score_lines(docs: DataFrame, max_docs: int = 20, max_share: float = 0.001, min_left: float = 0.3, min_words: int = 10, repeat_percent: int = 20, host: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def score_lines(docs: DataFrame, max_docs: int = 20, min_left: float = 0.3, min_words: int = 10, repeat_percent: int = 20, host: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text, host) to doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, n_lines, n_lines_removed, n_words_left and ``keep``."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -71,9 +71,7 @@ def score_lines(docs: DataFrame, max_docs: int = 20, max_share: float = 0.001, m
     base = cut(base)
     once = base.groupBy("uid").agg(F.first("host").alias("host"), F.first("same").alias("same"), F.first("lines").alias("lines"))
     held = once.select("uid", "host", "same", F.explode("lines").alias("line")).select("uid", "host", "same", "line.h", "line.n")
-    frequent = held.select("host", "h", "same").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    of_host = base.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("all_docs"))
-    over = frequent.alias("f").join(of_host.alias("o"), F.expr("f.host <=> o.host")).where(F.col("docs") > max_share * F.col("all_docs")).select("f.host", "f.h")
+    over = held.select("host", "h", "same").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
     lost = held.alias("l").join(over.alias("v"), F.expr("l.host <=> v.host AND l.h = v.h"), "left_semi")
     lost = lost.groupBy("uid").agg(F.sum("n").alias("n_lost"), F.count("*").alias("n_lines_removed"))
     out = base.join(lost, "uid", "left").withColumns({"n_lost": F.coalesce("n_lost", F.lit(0)), "n_lines_removed": F.coalesce("n_lines_removed", F.lit(0))})
@@ -95,8 +93,7 @@ s AS (SELECT b.*, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w,
 l AS (SELECT DISTINCT doc_id, host, t, unnest(generate_series(1, len(lines))) AS i, lines FROM s),
 m AS (SELECT doc_id, host, t, trim(regexp_replace(translate(lower(lines[i]), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS n FROM l),
 f AS (SELECT host, h, count(DISTINCT t) AS docs FROM m GROUP BY ALL),
-o AS (SELECT host, count(DISTINCT t) AS all_docs FROM d GROUP BY ALL),
-v AS (SELECT f.host, f.h FROM f JOIN o ON f.host IS NOT DISTINCT FROM o.host WHERE docs > 20 AND docs > 0.001 * all_docs),
+v AS (SELECT host, h FROM f WHERE docs > 20),
 x AS (SELECT doc_id, sum(n) AS n_lost, count(*) AS removed FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host AND m.h = v.h GROUP BY doc_id),
 y AS (SELECT s.*, coalesce(n_lost, 0) AS n_lost, coalesce(removed, 0) AS removed, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
     FROM s LEFT JOIN x ON s.doc_id IS NOT DISTINCT FROM x.doc_id)
