@@ -10,7 +10,8 @@ an anchor has very many runs, the run is cut into parts and dealt out by what al
 distinct segments of one key still have more bytes than an array may hold, each window goes by its own digest.  A task
 concatenates its segments up to a bound and builds their suffix array by two-stage sorting: only suffixes smaller than
 their successors are sorted directly, the others are induced by scanning the buckets of first bytes from the left.
-Windows whose common prefix with a neighbour in the array reaches ``length`` are repeated.
+The common prefixes of neighbours in the array are computed then; windows whose common prefix with a neighbour reaches
+``length`` are repeated.
 
 Null texts are empty; texts shorter than ``length`` keep everything.  Copies of one text (repeated rows included) are
 handled once, and all of their windows are repeated.  An empty table gives no rows.  Extra columns are ignored.
@@ -50,29 +51,57 @@ def types(t: np.ndarray) -> np.ndarray:
     return greater
 
 
-def names(t: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
-    """Ranks of the first ``d`` bytes of every suffix, and d: the largest 8 * 3 ** i that is at most ``depth``."""
+def names(t: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Ranks of the first 8, 24, 72, ... bytes of every suffix, up to the largest 8 * 3 ** i that is at most ``depth``."""
     padded = np.concatenate((t, np.zeros(8, np.uint8))).astype(np.uint64)
     key = np.zeros(len(t), np.uint64)
     for j in range(8):
         key = (key << U(8)) | padded[j : j + len(t)]
     d = 8
     rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    out = [rank.astype(np.uint32)]
     while 3 * d <= depth:
         ahead = np.concatenate((rank + U(1), np.zeros(2 * d, np.uint64)))
         key = (ahead[: len(t)] << U(42)) | (ahead[d : d + len(t)] << U(21)) | ahead[2 * d : 2 * d + len(t)]
         rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        out.append(rank.astype(np.uint32))
         d *= 3
-    return rank, d
+    return out
+
+
+def common_prefixes(t: np.ndarray, sa: np.ndarray, ranks: list[np.ndarray], depth: int) -> np.ndarray:
+    """For each place in the array the length of the common prefix with the suffix before it, ``depth`` at most: steps of
+    the sizes that have names, then bytes."""
+    out = np.zeros(len(sa), np.int64)
+    if len(sa) < 2:
+        return out
+    p, q, l = sa[1:].copy(), sa[:-1].copy(), np.zeros(len(sa) - 1, np.int64)
+    end = len(t)
+    for i in range(len(ranks) - 1, -1, -1):
+        d = 8 * 3**i
+        rank = np.append(ranks[i] + np.uint32(1), np.uint32(0))
+        for _ in range(2 if i < len(ranks) - 1 else -(-depth // d)):
+            same = rank[np.minimum(p, end)] == rank[np.minimum(q, end)]
+            step = np.where(same & (l < depth), d, 0)
+            p, q, l = p + step, q + step, l + step
+    text = np.append(t, np.uint8(0))
+    alike = l < depth
+    for _ in range(7):
+        alike &= text[np.minimum(p, end)] == text[np.minimum(q, end)]
+        p, q, l = p + alike, q + alike, l + alike
+    out[1:] = np.minimum(l, depth)
+    return out
 
 
 def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of ``t`` (under 2 ** 21 bytes) in the order of their first ``depth`` bytes, by two-stage sorting, and
-    which of them share so many bytes with the one before.  Beyond the end of ``t`` zero bytes are read."""
+    """The suffixes of ``t`` (under 2 ** 21 bytes) in the order of their first ``depth`` bytes, by two-stage sorting, and the
+    length of the prefix that each shares with the one before, ``depth`` at most.  Beyond the end of ``t`` zero bytes are
+    read."""
     n = len(t)
     assert n < MAX_ARRAY, n  # three ranks, and one more than the largest, fit a word
     greater = types(t)
-    rank, d = names(t, depth)
+    ranks = names(t, depth)
+    rank, d = ranks[-1].astype(np.uint64), 8 * 3 ** (len(ranks) - 1)
     padded = np.concatenate((rank, np.zeros(depth, np.uint64)))
     # The name of the first ``depth`` bytes: the names of its first d and of its last d bytes (which overlap).
     whole = np.unique((rank << U(21)) | padded[depth - d : depth - d + n], return_inverse=True)[1] if d < depth <= 2 * d else rank
@@ -112,8 +141,7 @@ def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             for part in np.split(before, edges):
                 waiting[t[part[0]]].append(part)
     sa = np.concatenate(out) if out else np.zeros(0, np.int64)
-    same = np.concatenate(([False], whole[sa[1:]] == whole[sa[:-1]])) if n else np.zeros(0, bool)
-    return sa, same
+    return sa, common_prefixes(t, sa, ranks, depth)
 
 
 def repeated_windows(segments: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
@@ -122,13 +150,13 @@ def repeated_windows(segments: list[bytes], weights: list[int], length: int) ->
     lens = np.array([len(s) for s in segments])
     starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
     t = np.frombuffer(b"".join(segments), np.uint8)
-    sa, same = suffix_array(t, length)
+    sa, prefix = suffix_array(t, length)
     eligible = np.zeros(len(t) + 1, np.int8)
     np.add.at(eligible, starts, 1)
     np.add.at(eligible, starts + lens - length + 1, -1)
     eligible = np.cumsum(eligible[:-1]).astype(bool)
     # Equal windows are neighbours in the array with nothing but their equals between them.
-    group = np.cumsum(~same)
+    group = np.cumsum(prefix < length)
     ok = eligible[sa]
     sa, group = sa[ok], group[ok]
     count = np.bincount(group)
@@ -339,8 +367,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot_runs: int = 5000, par
     again = runs.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y")
     # Only keys of anchors with many runs can exceed key_bytes: a run has fewer than 2 * length bytes.
     hot, many = F.col("n") > hot_runs, F.col("n") > key_bytes // (2 * length)
-    again = again.select("h", hot.alias("hot"), (hot | many).alias("many"))
-    chosen = cut(runs.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot", "many")).alias("r")).select("doc_id", "r.h", "r.p", "r.span", "r.a", "r.hot", "r.many"))
+    again = cut(again.select("h", hot.alias("hot"), (hot | many).alias("many")))
+    # Hot anchors are few (one for hot_runs runs at most) and are joined without a shuffle by anchor, which spares one task
+    # all runs of an anchor; their rows are dealt by place in the join of the others.
+    few = again.where("hot").select(F.col("h").alias("hot_h"))
+    held = runs.join(fixed_order_bound(few, few.count(), max_broadcast), F.col("h") == F.col("hot_h"), "left")
+    held = held.withColumn("by", F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("h", "doc_id", "p")))
+    usual = again.where("NOT hot").select(F.col("h").alias("by"), F.col("h").alias("cold_h"), "many")
+    held = held.join(usual, "by", "left").where("hot_h IS NOT NULL OR cold_h = h")
+    held = held.select("doc_id", "h", "p", "span", "a", F.col("hot_h").isNotNull().alias("hot"), (F.col("hot_h").isNotNull() | F.coalesce("many", F.lit(False))).alias("many"))
+    chosen = cut(held.groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "span", "a", "hot", "many")).alias("r")).select("doc_id", "r.h", "r.p", "r.span", "r.a", "r.hot", "r.many"))
     chosen_rows, chosen_runs, any_many = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0)), F.max(F.array_contains("many", True))).first()
     texts = docs.drop("sig").join(fixed_order_bound(chosen, chosen_runs, max_broadcast), "doc_id").select("doc_id", "text", "h", "p", "span", "a", "hot", "many")
     heavy = texts.where(F.array_contains("many", True)).withColumn("r", F.filter(F.arrays_zip("h", "p", "span", "a", "hot", "many"), lambda r: r["many"])).select("doc_id", "text", "r.h", "r.p", "r.span", "r.a", "r.hot")

@@ -87,9 +87,11 @@ def test_suffix_array_is_sorted():
     for _ in range(100):
         t = r.integers(97, 100, int(r.integers(1, 60))).astype(np.uint8)
         depth = int(r.choice([8, 30, 400]))
-        sa, same = suffix_dedup.suffix_array(t, depth)
+        sa, prefix = suffix_dedup.suffix_array(t, depth)
         keys = [(t.tobytes() + bytes(depth))[i : i + depth] for i in sa]
-        assert keys == sorted(keys) and same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+        # The prefix ends with the shorter suffix; zero bytes beyond both ends are alike.
+        want = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), depth) for a, b in zip(keys, keys[1:])]
+        assert keys == sorted(keys) and prefix.tolist() == want
 
 
 @pytest.mark.parametrize("hot", [5000, 2])
