@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from gridlark.llm.common import fresh_path, table
+from gridlark.llm.common import delete_path, fresh_path, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,14 @@ ORACLE_SQL = None  # the classifier is not SQL; tests hold the stages against pl
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  What a stage wrote goes once the next has read it; the last one's input stays, for the result
+    is computed from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
