@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +71,13 @@ def none_again(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan in use needs: Spark removes them once the driver has collected what names them,
+    which it would do some day anyway.  Nothing but disk depends on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or one like it that is no column of ``df`` (in any case)."""
     taken = {c.lower() for c in df.columns}
