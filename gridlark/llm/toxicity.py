@@ -225,9 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, seed: int = 0)
     return train([rows[i] for i in ids], np.array([label[i] for i in ids]), seed=seed)
 
 
-def scorer(docs: DataFrame, model: Model, batch_chars: int = 1_000_000):
+def scorer(docs: DataFrame, model: Model, batch_chars: int = 250_000):
     """A column function: the score of a text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
