@@ -339,3 +339,140 @@ def test_pipeline_keeps_its_promises(spark):
         docs = out
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert rows.count() == docs.count() and rows.agg(F.max("shard")).first()[0] <= 23
+
+
+def plain_terms(texts, reach=60, generalise=0.7, remove=0.95):
+    """The terms that reveal an entity, by counting over distinct texts."""
+    pattern = re.compile(r"[^\W\d_]{4,}")
+    distinct = set(texts)
+    n = len(distinct)
+    entities, pairs, near = Counter(), Counter(), {}
+    in_texts = Counter(w for t in distinct for w in {m.group().lower() for m in pattern.finditer(t)})
+    for t in distinct:
+        spans = list(plain_spans(t))
+        here = near.setdefault(t, set())
+        for kind, s, e in spans:
+            entity = f"{kind}:{t[s:e].lower()}"
+            low = max(0, s - reach)
+            found = [(m.start() + low, m.end() + low, m.group()) for m in pattern.finditer(t[low:s]) if m.start() > 0 or low == 0]
+            found += [(m.start() + e, m.end() + e, m.group()) for m in pattern.finditer(t[e : e + reach + 1]) if m.end() <= reach]
+            here |= {(entity, a, b, w) for a, b, w in found if not any(a < y and x < b for _, x, y in spans)}
+        entities.update({f"{k}:{t[s:e].lower()}" for k, s, e in spans})
+        pairs.update({(x[0], x[3].lower()) for x in here})
+    out = {}
+    for t, here in near.items():
+        out[t] = set()
+        for entity, a, b, w in here:
+            seen = max(in_texts[w.lower()], pairs[(entity, w.lower())])
+            information = np.log(n / entities[entity])
+            part = np.log(n * pairs[(entity, w.lower())] / (entities[entity] * seen)) / information if information > 0 else 0
+            if part >= generalise - 1e-12:
+                out[t].add((a, b, "remove" if part >= remove - 1e-12 else "generalise"))
+    return out
+
+
+def test_terms_equal_plain_counts(spark):
+    r = np.random.default_rng(8)
+    people = [f"person{'abcdefgh'[i]}@mail.org" for i in range(8)] + ["+49 30 1234567", "10.1.2.3"]
+    names = [f"name{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(3)]
+    texts = []
+    for i in range(150):
+        w = [f"common{chr(97 + int(x))}" for x in r.integers(0, 12, 30)]
+        for _ in range(int(r.integers(0, 3))):
+            k = int(r.integers(0, 10))
+            w[int(r.integers(0, 29))] = f"{names[3 * k + int(r.integers(0, 3))]} {people[k]} {names[int(r.integers(0, 30))]}"
+        texts.append(" ".join(w))
+    texts += texts[:20]
+    want, n = plain_terms(texts), 0
+    for row in pii.find(docs_of(spark, texts)).collect():
+        actions = {}
+        for a, b, action in want[texts[row["doc_id"]]]:
+            actions[(a, b)] = max(action, actions.get((a, b), ""))
+        assert {(t["s"], t["e"]): t["action"] for t in row["terms"]} == actions
+        n += len(actions)
+    assert n > 50 and {t["action"] for r in pii.find(docs_of(spark, texts)).collect() for t in r["terms"]} == {"remove", "generalise"}
+
+
+def test_depleted_documents_are_rejected(spark):
+    """A host's notice goes from all its documents at any size of the host; one that is little else goes as a whole."""
+    notice = "all rights reserved by the owners of this site and its many friends"
+    texts = [f"{notice}\n{words(3, i) if i == 33 else words(60, i)}" for i in range(90)] + [f"{words(30, 500 + i)}" for i in range(400)]
+    got = {r["doc_id"]: r for r in line_quality.score_lines(docs_of(spark, texts)).collect()}
+    assert [got[i]["n_lines_removed"] for i in range(490)] == [1] * 90 + [0] * 400
+    assert not got[33]["base_failed"] and not got[33]["kept"]
+    assert all(got[i]["kept"] for i in range(490) if i != 33 and not got[i]["base_failed"]) and sum(r["kept"] for r in got.values()) > 450
+    few = [f"{notice}\n{words(3, i)}" for i in range(60)]  # 20 documents a host are within the limit
+    assert all(r["n_lines_removed"] == 0 for r in line_quality.score_lines(docs_of(spark, few)).collect())
+
+
+def test_scores_depend_on_order_and_copies(spark):
+    r = np.random.default_rng(5)
+    bigrams = [[f"v{int(x)}" for x in r.integers(0, 300, 2)] for _ in range(60)]
+    texts = [" ".join(w for k in r.integers(0, 60, 40) for w in bigrams[int(k)]) for _ in range(300)]
+    texts += texts[:40]  # copies
+    shuffled = [" ".join(r.permutation(t.split())) for t in texts[100:140]]
+    both = docs_of(spark, texts + shuffled)
+    rows = {x["doc_id"]: x for x in context_mixing.score(both).collect()}
+    held = [i for i in range(100, 140) if rows[i]["held_out"]]
+    alone = [i for i in range(40, 300)]
+    per = lambda i, c="score": rows[i][c] / rows[i]["n_tokens"]
+    assert held and all(rows[i]["score"] > rows[i]["base_score"] for i in alone)
+    assert np.mean([per(i) for i in range(100, 140)]) > np.mean([per(i) for i in range(340, 380)]) + 0.3
+    taught = [i for i in range(40) if not rows[i]["held_out"] and not rows[300 + i]["held_out"]]
+    assert max(per(i) for i in alone) < min(per(i) for i in taught)
+    assert all(np.isclose(x["bits_per_byte"] * len((texts + shuffled)[i].encode()), -x["score"] / np.log10(2)) for i, x in rows.items())
+    again = {x["doc_id"]: x["score"] for x in context_mixing.score(both.repartition(7)).collect()}
+    assert all(abs(again[i] - x["score"]) < 1e-3 * abs(x["score"]) for i, x in rows.items())
+
+
+def test_probabilities_leave_the_token_out(spark):
+    """Counts that come back to a chunk, against plain ones."""
+    texts = ["a b a b c", "a b c", "b c a", "x y z a b"]
+    h, at = context_mixing.word_hashes([t.encode() + b" " + context_mixing.END for t in texts])
+    keys, begin, of = context_mixing.context_keys(h, at)
+    n, m = len(h), len(begin)
+    assert len(keys) == n + 2 * m and of.tolist() == [int(np.searchsorted(begin, i)) for i in at]
+    tokens = [w for t in texts for w in [None, *t.split(), "END"]]
+    pairs = [(a, b) for a, b in zip(tokens, tokens[1:]) if b is not None]
+    same = Counter(pairs)
+    assert len(set(keys[:n].tolist())) == len(same)
+    assert sorted(Counter(keys[:n].tolist()).values()) == sorted(same.values())
+    raw = np.array([Counter(h.tolist())[x] for x in h.tolist()], float)
+    two = np.array([same[p] for p in pairs], float)
+    seen, after = context_mixing.after(raw, two, np.ones(n), at[:-1], 4)
+    assert after[1] == (same[("a", "b")] - 1) / (raw[0] - 1) and after[0] == (same[(None, "a")] - 1) / 3 and after[-1] == (same[("b", "END")] - 1) / (raw[-2] - 1)
+
+
+def test_long_texts(spark):
+    """Texts beyond a piece, a chunk and a batch: what repeats across a piece's edge goes, and counts are those of whole texts."""
+    big = words(90_000, 1, 30_000)
+    assert len(big) > suffix_dedup.PIECE + 1000
+    edge = suffix_dedup.PIECE
+    texts = [big, words(50, 2) + " " + big[edge - 300 : edge + 300] + " " + words(50, 3), words(300, 4)]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[0]["n_removed"] >= 600 and got[1]["n_removed"] >= 600 and got[2]["n_removed"] == 0
+    assert any(a <= edge - 300 and b >= edge + 300 for a, b in zip(got[0]["span_starts"], got[0]["span_ends"]))
+    sets = {r["doc_id"]: r["n_shingles"] for r in jaccard_join.components(docs).collect()}
+    w = big.split()
+    assert sets[0] == len({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    assert {r["doc_id"]: r["n_tokens"] for r in context_mixing.score(docs).collect()}[0] == len(w) + 1
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()}[0] == len(w)
+    assert {r["doc_id"]: r["n_words"] for r in line_quality.score_lines(docs).collect()}[0] == len(w)
+
+
+def test_item_beginnings_in_either_form(spark):
+    """A word that begins an item becomes a name where other words stand before it."""
+    item = "Rivers carry seven kinds of stone to sea"
+    docs = docs_of(spark, [f"we read that {item} and more of it", f"{item}.", "rivers of other kinds"])
+    got = {r["doc_id"]: r["n_found"] == r["n_windows"] for r in decontamination.leaks(docs, bench(spark, [(1, item)])).collect()}
+    assert got == {0: True, 1: True}
+
+
+def test_shards_follow_the_splitters(spark):
+    texts = [words(30 + i % 5, i) for i in range(1500)] + ["same text"] * 500
+    rows = sharding.shard(docs_of(spark, texts), n_shards=6, ranges_per_shard=8, whole_group=0.3).collect()
+    ranges = {}
+    for r in rows:
+        ranges.setdefault(r["range_id"], set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in ranges.values()) <= 1 and len(ranges) > 30
