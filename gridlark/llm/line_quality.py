@@ -34,8 +34,9 @@ def repeated_words(w: Column, window: int = 5) -> Column:
     """
 
     def windows(codes: Column) -> Column:
-        n = F.size(codes) - (window - 1)
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(codes, i, window)))
+        # Each word is hashed once; a window is hashed from the hashes of its words.
+        of = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(window)]))
+        return let(F.transform(codes, lambda x: F.xxhash64(x)), of)
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
