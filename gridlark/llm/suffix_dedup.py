@@ -71,25 +71,28 @@ def names(t: np.ndarray, depth: int) -> list[np.ndarray]:
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, ranks: list[np.ndarray], depth: int) -> np.ndarray:
     """For each place in the array the length of the common prefix with the suffix before it, ``depth`` at most: steps of
-    the sizes that have names, then bytes."""
-    out = np.zeros(len(sa), np.int64)
+    the sizes that have names, then the bytes in which the next eight agree."""
+    out = np.zeros(len(sa), np.int32)
     if len(sa) < 2:
         return out
-    p, q, l = sa[1:].copy(), sa[:-1].copy(), np.zeros(len(sa) - 1, np.int64)
-    end = len(t)
+    begin = sa[1:].astype(np.int32)
+    p, q = begin.copy(), sa[:-1].astype(np.int32)
+    beyond = np.zeros(2 * depth + 64, np.uint32)  # no step leads further
     for i in range(len(ranks) - 1, -1, -1):
         d = 8 * 3**i
-        rank = np.append(ranks[i] + np.uint32(1), np.uint32(0))
+        rank = np.concatenate((ranks[i] + np.uint32(1), beyond))
         for _ in range(2 if i < len(ranks) - 1 else -(-depth // d)):
-            same = rank[np.minimum(p, end)] == rank[np.minimum(q, end)]
-            step = np.where(same & (l < depth), d, 0)
-            p, q, l = p + step, q + step, l + step
-    text = np.append(t, np.uint8(0))
-    alike = l < depth
-    for _ in range(7):
-        alike &= text[np.minimum(p, end)] == text[np.minimum(q, end)]
-        p, q, l = p + alike, q + alike, l + alike
-    out[1:] = np.minimum(l, depth)
+            step = (rank[p] == rank[q]) * np.int32(d)
+            p += step
+            q += step
+    padded = np.concatenate((t, np.zeros(len(beyond) + 8, np.uint8))).astype(np.uint64)
+    key = np.zeros(len(t) + len(beyond), np.uint64)
+    for j in range(8):
+        key = (key << U(8)) | padded[j : j + len(key)]
+    differ = key[p] ^ key[q]
+    for b in range(1, 8):
+        p += differ < U(1 << 8 * b)
+    out[1:] = np.minimum(p - begin, depth)
     return out
 
 
