@@ -1,8 +1,8 @@
 """Neighbourhood operators on pixel tables (y, x, v); a table of several images has columns ``by`` that tell them apart, and
 no neighbourhood crosses from one to another.
 
-Square windows of sums run as two window passes (along rows, then along columns): each cell is read once a pass however
-large the window.  Any other kernel deals each cell to the cells it reaches, which partial aggregation shrinks before
+Square windows of sums run as two passes (along rows, then along columns); on a lattice without holes each cell is read
+once a pass however large the window.  Any other kernel deals each cell to the cells it reaches, which partial aggregation shrinks before
 the shuffle; the result is kept to the cells of the input.
 """
 
@@ -25,14 +25,27 @@ def centred(grid: DataFrame, v: str, by: By = ()) -> DataFrame:
     return grid.join(mean.select(*[F.col(b).alias(f"_{b}") for b in by], "_c"), [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]).drop(*[f"_{b}" for b in by])
 
 
-def box_stats(grid: DataFrame, radius: int, v: str = "v", by: By = ()) -> DataFrame:
-    """y, x, v, n, mean, var (population) over the square window; masked and missing cells are skipped."""
-    row = Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-radius, radius)
+def box_sums(grid: DataFrame, parts: dict[str, Column], radius: int, by: By = (), holes: bool = True) -> DataFrame:
+    """The grid with ``_name``, the sum over the square window, for each of ``parts``.
+
+    Along rows each cell is dealt to the columns it reaches, so that a row counts in a window even where it has no cell in
+    the window's middle column; ``holes=False`` is for lattices whose cells are all there (masked ones as NULL), where
+    window functions do without dealing."""
     col = Window.partitionBy(*by, "x").orderBy("y").rangeBetween(-radius, radius)
+    if not holes:
+        row = Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-radius, radius)
+        a = grid.withColumns({f"_{k}": F.sum(c).over(row) for k, c in parts.items()})
+        return a.withColumns({f"_{k}": F.sum(f"_{k}").over(col) for k in parts})
+    valued = grid.select(*by, "y", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)).alias("x"), *[c.alias(f"_{k}") for k, c in parts.items()])
+    rows = valued.groupBy(*by, "y", "x").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in parts])
+    return grid.join(rows.withColumns({f"_{k}": F.sum(f"_{k}").over(col) for k in parts}), [*by, "y", "x"])
+
+
+def box_stats(grid: DataFrame, radius: int, v: str = "v", by: By = (), holes: bool = True) -> DataFrame:
+    """y, x, v, n, mean, var (population) over the square window; masked and missing cells are skipped (``holes``: see
+    ``box_sums``)."""
     d = F.col(v) - F.col("_c")
-    sums = {"n": F.count(d), "s": F.sum(d), "q": F.sum(d * d)}
-    a = centred(grid, v, by).withColumns({f"_{k}": c.over(row) for k, c in sums.items()})
-    a = a.withColumns({f"_{k}": F.sum(f"_{k}").over(col) for k in sums})
+    a = box_sums(centred(grid, v, by), {"n": F.when(d.isNotNull(), 1).otherwise(0), "s": d, "q": d * d}, radius, by, holes)
     mean = F.try_divide(F.col("_s"), F.col("_n"))
     out = a.withColumns({"n": F.col("_n"), "mean": F.col("_c") + mean, "var": F.greatest(F.lit(0.0), F.try_divide(F.col("_q"), F.col("_n")) - mean * mean)})
     return out.drop("_n", "_s", "_q", "_c")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.kernels import Kernel, fixed, rotate
-from gridlark.operators.neighborhood import box_stats, centred, shifted
+from gridlark.operators.neighborhood import box_stats, box_sums, centred, shifted
 
 
-def gamma_map(grid: DataFrame, looks: float = 5, size: int = 3) -> DataFrame:
+def gamma_map(grid: DataFrame, looks: float = 5, size: int = 3, holes: bool = True) -> DataFrame:
     """Maximum a posteriori filter: the mean where variation is speckle, the input where it is structure, and the root of
     a quadratic in between."""
     cu = 1 / math.sqrt(looks)
     top = math.sqrt(2) * cu
-    s = box_stats(grid, size // 2).withColumn("ci", F.try_divide(F.sqrt("var"), F.col("mean")))
+    s = box_stats(grid, size // 2, holes=holes).withColumn("ci", F.try_divide(F.sqrt("var"), F.col("mean")))
     a = F.try_divide(F.lit(1 + cu * cu), F.col("ci") * F.col("ci") - cu * cu)
     b = a - looks - 1
     d = F.col("mean") * F.col("mean") * b * b + 4 * looks * a * F.col("mean") * F.col("v")
@@ -30,11 +30,11 @@ def _direction_kernels() -> list[Kernel]:
     return [k for i in range(4) for k in (rotate(half, i), rotate(corner, i))]
 
 
-def refined_lee(grid: DataFrame, use_abs: bool = False) -> DataFrame:
+def refined_lee(grid: DataFrame, use_abs: bool = False, holes: bool = True) -> DataFrame:
     """Edge-directed local statistics.  Nine 3 x 3 means at the places 2 cells apart give four gradients; the steepest and
     its convexity choose one of eight half windows, whose mean and variance filter the cell.  Ties of gradients add their
     codes, so flat areas match no window and come out NULL."""
-    s = box_stats(grid, 1)
+    s = box_stats(grid, 1, holes=holes)
     places = [(dx, dy) for dy in (-2, 0, 2) for dx in (-2, 0, 2)]
     at = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(i).alias("i")) for i, (dx, dy) in enumerate(places)])
     dealt = s.select("y", "x", "mean", "var", F.explode(at).alias("k")).select((F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), F.col("k.i").alias("i"), "mean", "var")
@@ -83,12 +83,12 @@ def gap_fill_coarse(src: DataFrame, fill: DataFrame, radius: int = 2, least: int
     both = F.col("f").isNotNull() & F.col("s").isNotNull()
     cell = lambda c: F.floor(F.col(c) / factor).alias(c)
     medians = common.groupBy(cell("y"), cell("x")).agg(*[F.median(F.when(both, F.col(c))).alias(f"c{c}") for c in "fs"], *[F.median(c).alias(c) for c in "fs"], F.count(F.when(both, 1)).alias("m"))
-    line = _regression(medians, F.col("cf"), F.col("cs"), radius).withColumnRenamed("y", "cy").withColumnRenamed("x", "cx")
+    line = _regression(medians, F.col("cf"), F.col("cs"), radius, True).withColumnRenamed("y", "cy").withColumnRenamed("x", "cx")
     fine = common.withColumns({"cy": F.floor(F.col("y") / factor), "cx": F.floor(F.col("x") / factor)}).join(line, ["cy", "cx"], "left")
     return fine.select("y", "x", F.coalesce(F.col("s"), F.when(F.col("near") >= least, F.col("f") * F.col("scale") + F.col("offset"))).alias("v"))
 
 
-def _regression(j: DataFrame, cf, cs, radius: int) -> DataFrame:
+def _regression(j: DataFrame, cf, cs, radius: int, holes: bool) -> DataFrame:
     """y, x, near (cells with both, each counting its ``m``), and scale and offset that lead from f to s, from windows of
     the grid ``j`` (y, x, f, s, m); ``cf`` and ``cs`` are the values where both are known."""
     j = centred(j, "f").withColumnRenamed("_c", "_of").transform(lambda x: centred(x, "s")).withColumnRenamed("_c", "_os")
@@ -96,11 +96,7 @@ def _regression(j: DataFrame, cf, cs, radius: int) -> DataFrame:
     bf, bs = cf - F.col("_of"), cs - F.col("_os")
     only = lambda c: F.when(both, c)
     parts = {"n": only(F.lit(1)), "m": only(F.col("m")), "sf": only(bf), "ss": only(bs), "sff": only(bf * bf), "sfs": only(bf * bs), "nf": F.when(f.isNotNull(), 1), "af": f, "aff": f * f, "ns": F.when(s.isNotNull(), 1), "as_": s, "ass": s * s}
-    row = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
-    col = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
-    w = j.withColumns({f"_{k}": c.cast("double") for k, c in parts.items()})
-    w = w.withColumns({f"_{k}": F.sum(f"_{k}").over(row) for k in parts})
-    w = w.withColumns({f"_{k}": F.sum(f"_{k}").over(col) for k in parts})
+    w = box_sums(j, {k: c.cast("double") for k, c in parts.items()}, radius, holes=holes)
     c = lambda k: F.col(f"_{k}")
     slope = F.try_divide(c("n") * c("sfs") - c("sf") * c("ss"), c("n") * c("sff") - c("sf") * c("sf"))
     mf, ms = F.try_divide(c("af"), c("nf")), F.try_divide(c("as_"), c("ns"))
@@ -112,12 +108,12 @@ def _regression(j: DataFrame, cf, cs, radius: int) -> DataFrame:
     return w.select("y", "x", c("m").alias("near"), scale.alias("scale"), (offset + F.col("_os") - F.col("_of") * scale).alias("offset"))
 
 
-def gap_fill(src: DataFrame, fill: DataFrame, radius: int = 10, least: int = 144) -> DataFrame:
+def gap_fill(src: DataFrame, fill: DataFrame, radius: int = 10, least: int = 144, holes: bool = True) -> DataFrame:
     """Fills NULL cells of ``src`` by a windowed regression of it on ``fill`` over their common cells.
 
     A slope outside [1/3, 3] gives way to the ratio of standard deviations, one that is still outside to 1; a gap needs
     ``least`` common neighbours.  Sums of the window make all statistics, in two window passes."""
     j = fill.select("y", "x", F.col("v").alias("f")).join(src.select("y", "x", F.col("v").alias("s")), ["y", "x"], "full")
-    line = _regression(j.withColumn("m", F.lit(1)), F.col("f"), F.col("s"), radius)
+    line = _regression(j.withColumn("m", F.lit(1)), F.col("f"), F.col("s"), radius, holes)
     filled = F.when(F.col("near") >= least, F.col("f") * F.col("scale") + F.col("offset"))
     return j.join(line, ["y", "x"]).select("y", "x", F.coalesce(F.col("s"), filled).alias("v"))

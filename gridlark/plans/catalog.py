@@ -224,12 +224,12 @@ def _near(t: str, r: int, agg: str, cond: str = "") -> str:
 
 @query(f"WITH {GRID}, s AS ({_near('grid', 1, 'count(b.v) AS n, avg(b.v) AS mean, var_pop(b.v) AS var')}) SELECT y, x, n, round(mean, 6) AS mean, round(var, 6) AS var FROM s")
 def box3_mean_var(spark, d):
-    return N.box_stats(T.grid(spark, d), 1).select("y", "x", "n", r6("mean"), r6("var"))
+    return N.box_stats(T.grid(spark, d), 1, holes=False).select("y", "x", "n", r6("mean"), r6("var"))
 
 
 @query(f"WITH {GRID}, s AS ({_near('grid', 3, 'avg(b.v) AS mean')}) SELECT y, x, round(mean, 6) AS mean FROM s")
 def boxcar(spark, d):
-    return N.box_stats(T.grid(spark, d), 3).select("y", "x", r6("mean"))
+    return N.box_stats(T.grid(spark, d), 3, holes=False).select("y", "x", r6("mean"))
 
 
 _CU = "(1 / sqrt(5.0::DOUBLE))"
@@ -239,7 +239,7 @@ _CU = "(1 / sqrt(5.0::DOUBLE))"
 a AS (SELECT *, (1 + {_CU} * {_CU}) / nullif(ci * ci - {_CU} * {_CU}, 0) AS a FROM c), b AS (SELECT *, a - 6 AS b FROM a), e AS (SELECT *, m * m * b * b + 20 * a * m * v AS d FROM b)
 SELECT y, x, round(CASE WHEN ci <= {_CU} THEN m WHEN ci >= sqrt(2.0::DOUBLE) * {_CU} THEN v WHEN d >= 0 THEN (b * m + sqrt(CASE WHEN d >= 0 THEN d END)) / (2 * a) END, 6) AS v FROM e""")
 def gamma_map(spark, d):
-    return S.gamma_map(T.grid(spark, d, positive=True)).select("y", "x", r6("v"))
+    return S.gamma_map(T.grid(spark, d, positive=True), holes=False).select("y", "x", r6("v"))
 
 
 _PLACES = "p(i, dx, dy) AS (VALUES " + ", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate((dx, dy) for dy in (-2, 0, 2) for dx in (-2, 0, 2))) + ")"
@@ -255,7 +255,7 @@ g AS (SELECT *, {", ".join(f"abs(m{a} - m{b}) AS g{i}" for i, (a, b) in enumerat
 w AS (SELECT c.y, c.x, avg(b.v) AS dm, var_pop(b.v) AS dv, any_value(sigma) AS sigma FROM c CROSS JOIN generate_series(-3, 3) j(dy) CROSS JOIN generate_series(-3, 3) k(dx) JOIN pos b ON b.y = c.y + dy AND b.x = c.x + dx WHERE {_SIDE} GROUP BY c.y, c.x)
 SELECT y, x, round(dm + (dv - dm * dm * sigma) / (sigma + 1) / dv * (v - dm), 6) AS v FROM pos LEFT JOIN w USING (y, x)""")
 def refined_lee(spark, d):
-    return S.refined_lee(T.grid(spark, d, positive=True)).select("y", "x", r6("v"))
+    return S.refined_lee(T.grid(spark, d, positive=True), holes=False).select("y", "x", r6("v"))
 
 
 def _diffuse(t: str) -> str:
@@ -331,7 +331,7 @@ def gap_fill(spark, d):
     g = T.grid(spark, d)
     src = g.withColumn("v", F.when((F.col("y") * 7 + F.col("x")) % 11 != 0, 2 * F.col("v") + 1))
     fill = g.withColumn("v", F.when((F.col("y") + F.col("x") * 3) % 13 != 0, F.col("v")))
-    return S.gap_fill(src, fill).select("y", "x", r6("v"))
+    return S.gap_fill(src, fill, holes=False).select("y", "x", r6("v"))
 
 
 @query(f"WITH {GRID}, o(dy, dx) AS (SELECT dy, dx FROM generate_series(-1, 1) p(dy), generate_series(-1, 1) q(dx)), s AS (SELECT a.y, a.x, string_agg(CAST(CAST(round(b.v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY dy, dx) AS patch, count(*) AS n FROM grid a, o JOIN grid b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.y, a.x) SELECT y, x, patch FROM s WHERE n = 9")
@@ -342,7 +342,7 @@ def patch_arrays(spark, d):
 
 @query(f"WITH {GRID}, s AS ({_near('grid', 1, 'stddev_pop(b.v) AS sd')}), m AS (SELECT min(sd) + 0.5::DOUBLE * (max(sd) - min(sd)) AS t FROM s) SELECT y, x, round(sd, 6) AS sd FROM s, m WHERE sd < t")
 def rms_minmax_threshold(spark, d):
-    s = N.box_stats(T.grid(spark, d), 1).withColumn("sd", F.sqrt("var"))
+    s = N.box_stats(T.grid(spark, d), 1, holes=False).withColumn("sd", F.sqrt("var"))
     j = s.crossJoin(F.broadcast(s.agg(F.min("sd").alias("low"), F.max("sd").alias("high"))))  # one row
     return j.where(F.col("sd") < F.col("low") + 0.5 * (F.col("high") - F.col("low"))).select("y", "x", r6("sd"))
 

@@ -139,6 +139,7 @@ def test_images_do_not_mix_and_holes_have_no_neighbours(spark):
     g = spark.createDataFrame([(i, y, x, float(100 * i + x)) for i in (0, 1) for y in range(3) for x in range(5) if (y, x) != (1, 2)], "i int, y long, x long, v double")
     s = {(r["i"], r["y"], r["x"]): r for r in N.box_stats(g, 1, by=("i",)).collect()}
     assert s[(0, 1, 1)]["n"] == 8 and s[(1, 0, 0)]["mean"] == 100.5 and s[(0, 0, 0)]["mean"] == 0.5
+    assert s[(0, 0, 2)]["n"] == 5 and s[(1, 2, 2)]["mean"] == 102
     f = {(r["i"], r["y"], r["x"]): r["v"] for r in N.focal(g, "max", square(1), by=("i",)).collect()}
     assert f[(0, 0, 0)] == 1 and f[(1, 0, 0)] == 101
     one = g.where("i = 0").drop("i")
@@ -147,6 +148,12 @@ def test_images_do_not_mix_and_holes_have_no_neighbours(spark):
     assert all(r["slope"] is None for r in C.terrain(one).collect())
 
 
+def test_dealt_sums_equal_windows(spark):
+    g = spark.createDataFrame([(y, x, None if (x + y) % 5 == 0 else float(x * y % 7)) for y in range(7) for x in range(9)], "y long, x long, v double")
+    key = lambda r: (r["y"], r["x"], r["n"], round(r["mean"], 9), round(r["var"], 9))
+    assert sorted(map(key, N.box_stats(g, 2).collect())) == sorted(map(key, N.box_stats(g, 2, holes=False).collect()))
+
+
 def test_variance_of_large_values_does_not_cancel(spark):
     g = spark.createDataFrame([(y, x, 1e9 + (x + y) % 2) for y in range(4) for x in range(4)], "y long, x long, v double")
     assert all(abs(r["var"] - 0.25) < 0.01 for r in N.box_stats(g, 1).collect() if r["n"] in (4, 6))
