@@ -61,12 +61,17 @@ def uniform(key: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def kfold(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """Contiguous folds of floor(N / k) rows in random order, the rows left over one each to the first folds."""
-    u = df.withColumn("random", uniform(F.col(key), seed))
+def kfold(df: DataFrame, key: str, k: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
+    """Contiguous folds of floor(N / k) rows in random order, the rows left over one each to the first folds.
+
+    Rows are ordered within buckets of their random number, which are near equal, and the buckets' counts say where each
+    begins; no task orders all rows."""
+    u = df.select(key, uniform(F.col(key), seed).alias("random")).withColumn("bucket", F.floor(F.col("random") * buckets))
     one = Window.partitionBy(F.lit(1))
-    rn = F.row_number().over(one.orderBy("random", key))
-    r = u.withColumns({"rn": rn, "total": F.count("*").over(one)})
+    counts = u.groupBy("bucket").agg(F.count("*").alias("c"))
+    begins = counts.select("bucket", (F.sum("c").over(one.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"), F.sum("c").over(one).alias("total"))
+    r = u.join(F.broadcast(begins), "bucket")  # at most ``buckets`` rows
+    r = r.withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("random", key)))
     base = F.floor(F.col("total") / k)
     fold = F.when(F.col("rn") <= k * base, F.floor((F.col("rn") - 1) / F.greatest(base, F.lit(1)))).otherwise(F.col("rn") - k * base - 1)
     return r.select(key, "random", fold.cast("long").alias("fold"))
@@ -81,12 +86,30 @@ def generate_grid(df: DataFrame, x: str, y: str, dx: float, dy: float) -> DataFr
     return cells.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (cx - dx / 2).alias("west"), (cx + dx / 2).alias("east"), (cy - dy / 2).alias("south"), (cy + dy / 2).alias("north"))
 
 
-def overlap_count(intervals: DataFrame, start: str, end: str, step: int) -> DataFrame:
-    """cell, n: how many intervals [start, end] cover each multiple of ``step``, by events and a running sum."""
+def running_sums(places: DataFrame, bits: int = 16, width: int = 64) -> DataFrame:
+    """``places`` (c, d, at), one row for each c (long), to c, d, n, after: n is the sum of d up to c, after the ``at`` of the
+    next c (null for the last).
+
+    Places are summed in blocks of 2 ** bits, and the blocks' sums likewise, so no task orders more rows than a block has."""
+    block = F.shiftright("c", bits) if width > bits else F.lit(0)
+    b = places.withColumn("block", block)
+    w = Window.partitionBy("block").orderBy("c")
+    within = b.withColumns({"n": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("at").over(w)})
+    if width <= bits:
+        return within.select("c", "d", "n", "after")
+    sums = b.groupBy(F.col("block").alias("c")).agg(F.sum("d").alias("d"), F.min("at").alias("at"))
+    blocks = running_sums(sums, bits, width - bits).select(F.col("c").alias("block"), (F.col("n") - F.col("d")).alias("before"), F.col("after").alias("then"))
+    return within.join(blocks, "block").select("c", "d", (F.col("n") + F.col("before")).alias("n"), F.coalesce("after", "then").alias("after"))
+
+
+def overlap_count(intervals: DataFrame, start: str, end: str, step: int, bits: int = 16) -> DataFrame:
+    """cell, n: how many intervals [start, end] cover each multiple of ``step``, by events and their running sums.  Cells are
+    listed in blocks of 2 ** bits, so an interval of any length makes no longer array of cells."""
     first, last = F.ceil(F.col(start) / step), F.floor(F.col(end) / step)
     e = intervals.where(first <= last).select(F.explode(F.array(F.struct(first.alias("c"), F.lit(1).alias("d")), F.struct((last + 1).alias("c"), F.lit(-1).alias("d")))).alias("e"))
-    e = e.groupBy(F.col("e.c").alias("c")).agg(F.sum("e.d").alias("d"))
-    running = e.withColumn("n", F.sum("d").over(Window.partitionBy(F.lit(1)).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)))
-    nxt = F.lead("c").over(Window.partitionBy(F.lit(1)).orderBy("c"))
-    spans = running.withColumn("to", nxt).where("n > 0 AND to IS NOT NULL")
-    return spans.select(F.explode(F.sequence("c", F.col("to") - 1)).alias("c"), "n").select((F.col("c") * step).alias("cell"), "n")
+    e = e.groupBy(F.col("e.c").cast("long").alias("c")).agg(F.sum("e.d").alias("d")).withColumn("at", F.col("c"))
+    spans = running_sums(e, bits).where("n > 0").select("c", "n", (F.col("after") - 1).alias("to"))
+    parts = spans.select("c", "n", "to", F.explode(F.sequence(F.shiftright("c", bits), F.shiftright("to", bits))).alias("block"))
+    low = F.shiftleft("block", bits)
+    cells = F.sequence(F.greatest("c", low), F.least("to", low + ((1 << bits) - 1)))
+    return parts.select(F.explode(cells).alias("c"), "n").select((F.col("c") * step).alias("cell"), "n")

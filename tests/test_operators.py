@@ -93,6 +93,28 @@ def test_folds_partition_the_rows(spark):
     assert sorted(r["n"] for r in f.groupBy("fold").agg(F.count("*").alias("n")).collect()) == [2, 2, 3]
 
 
+def test_folds_of_buckets_are_folds_of_all_rows(spark):
+    ks = spark.range(103).withColumnRenamed("id", "k")
+    for buckets in (1, 7, 4096):
+        got = E.kfold(ks, "k", 4, seed=5, buckets=buckets).collect()
+        order = sorted(got, key=lambda r: (r["random"], r["k"]))
+        assert len(got) == 103 and [r["fold"] for r in order] == [i // 25 for i in range(100)] + [0, 1, 2]
+    assert E.kfold(ks.limit(0), "k", 4).collect() == []
+
+
+def test_overlaps_across_blocks(spark):
+    spans = [(0, 9), (3, 3), (-7, 2), (65530, 65545), (65534, 65541), (131070, 131080), (2**33 - 2, 2**33 + 3), (8, 4), (-65540, -65530), (10, 10)]
+    df = spark.createDataFrame([(10 * a, 10 * b) for a, b in spans], "a long, b long")
+    want = {}
+    for a, b in spans:
+        for c in range(a, b + 1):
+            want[10 * c] = want.get(10 * c, 0) + 1
+    got = E.overlap_count(df, "a", "b", 10).collect()
+    assert len(got) == len(want) and {r["cell"]: r["n"] for r in got} == want
+    long = E.overlap_count(spark.createDataFrame([(0, 300_000)], "a long, b long"), "a", "b", 1).agg(F.count("*"), F.min("cell"), F.max("cell"), F.max("n")).first()
+    assert tuple(long) == (300_001, 0, 300_000, 1)
+
+
 def test_roc_ties_are_strict(spark):
     p = spark.createDataFrame([(0.5, 1), (0.5, 0), (0.9, 1), (0.1, 0), (1.0, 1), (0.0, 0)], "score double, is_target int")
     c = {r["cutoff"]: r for r in E.roc(p, 10).collect()}
