@@ -3,9 +3,10 @@
 Texts become token sequences in which numbers, units behind numbers and names (capitalised words within a sentence) are
 typed placeholders, and all words are lower-cased.  Windows of ``width`` tokens of the documents meet those of
 the benchmark in a hash join.  A document leaks an item if it holds at least ``share`` of the item's windows, and if
-the values in its placeholders follow the item's: in the best alignment, one value of the item must stand for one value
-of the document (the same, or a new one throughout) in ``consistent`` of the places.  So questions are found with their
-numbers and names changed, but not texts that merely have the same frame.
+the values in its placeholders follow the item's: one value of the item must stand for one value of the document (the
+same, or a new one throughout) in ``consistent`` of the places.  A place is looked for where the windows over it were
+met, of several such where most windows of the item were, and where none was met as in the best alignment of all.  So
+questions are found with their numbers and names changed and words put in, but not texts that merely have the same frame.
 
 Windows with fewer than ``min_words`` plain words are no evidence and count on neither side; an item with no other
 window is never found.  Null texts are empty.  Repeated rows of documents are one document by id and text; of items too.
@@ -80,7 +81,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     found = cut(found.join(best, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_found", (-F.col("best.shift")).alias("shift")))
     # Values in placeholders, for the documents found and the items with any.
     item_slots = _slots(items, "item_id").withColumnRenamed("value", "item_value")
-    to_check = cut(found.join(item_slots, "item_id").select("doc_id", "item_id", "item_value", (F.col("at") + F.col("shift")).alias("at")))
+    # Each is looked for where the windows over it were met, so words put in or left out move only what is behind them.
+    pair = ["doc_id", "item_id"]
+    by_window = met.join(found.select(*pair), pair).join(aligned, [*pair, "shift"]).groupBy(*pair, "b").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("own"))
+    own = by_window.select(*pair, F.explode(F.sequence("b", F.col("b") + (width - 1))).alias("at"), "own").groupBy(*pair, "at").agg((-F.max("own")["back"]).alias("own"))
+    at = F.col("at") + F.coalesce("own", "shift")
+    to_check = cut(found.join(item_slots, "item_id").join(own, [*pair, "at"], "left").select(*pair, "item_value", at.alias("at")))
     ids = to_check.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(fixed_order_bound(ids, ids.count(), max_broadcast), "doc_id")
     doc_slots = _slots(texts, "doc_id")

@@ -191,6 +191,15 @@ def test_leaks(spark):
     assert [r["doc_id"] for r in decontamination.clean(docs_of(spark, texts), b).collect()] == [2]
 
 
+def test_leaks_with_words_put_in(spark):
+    frame = "a shop sells {} apples and then {} pears on the first day while its owner counts {}every coin at night and the next morning {} carts come down the long road and {} more wait at the old gate"
+    b = bench(spark, [(1, frame.format(3, 3, "", 3, 3))])
+    texts = [frame.format(8, 8, "quietly ", 8, 8), frame.format(8, 5, "quietly ", 7, 9), frame.format(8, 8, "", 8, 8), frame.format(3, 3, "quietly ", 3, 3) + " " + frame.format(1, 2, "", 4, 6)[:60]]
+    got = {r["doc_id"]: r for r in decontamination.leaks(docs_of(spark, texts), b).collect()}
+    assert set(got) == {0, 2, 3} and all(r["consistency"] == 1 and r["n_slots"] == 4 for r in got.values())
+    assert got[0]["n_found"] == got[0]["n_windows"] - 4 and got[2]["n_found"] == got[2]["n_windows"]
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
