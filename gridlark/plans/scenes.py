@@ -27,7 +27,7 @@ _EPOCH = "CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, median(v) * 2.55
 @query(f"WITH {COLL}, a AS (SELECT event_type, user_id, {_EPOCH} AS v FROM coll WHERE day < DATE '2024-01-16' AND v IS NOT NULL GROUP BY ALL), b AS (SELECT event_type, user_id, {_EPOCH} AS v FROM coll WHERE day >= DATE '2024-01-16' AND v IS NOT NULL GROUP BY ALL) SELECT event_type, user_id, a.v AS before, b.v AS after, CAST(sign(b.v - a.v) AS BIGINT) AS change FROM a JOIN b USING (event_type, user_id)")
 def two_epoch_change(spark, d):
     """Medians of two epochs as bytes, where both have data."""
-    c = T.collection(spark, d).where(F.col("v").isNotNull())
+    c = T.collection_in_order(spark, d).where(F.col("v").isNotNull())
     late = F.col("day") >= F.lit("2024-01-16").cast("date")
     byte = lambda cond: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.median(F.when(cond, F.col("v"))) * 2.55)))
     both = c.groupBy("event_type", "user_id").agg(byte(~late).alias("before"), byte(late).alias("after"), F.max(late).alias("has_late"), F.min(late).alias("only_late"))
