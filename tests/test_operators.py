@@ -225,3 +225,9 @@ def test_epoch_bytes_follow_the_order_of_events_not_of_rows(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/{k}/events.parquet")
         seen += [tuple(r) for r in scenes.two_epoch_change(spark, f"{tmp_path}/{k}").collect()]
     assert seen == [("view", 7, 34, 127, 1)] * 3
+
+
+def test_grid_covers_bounds_of_any_width(spark):
+    points = spark.createDataFrame([(0, 0), (15, 562)], "x long, y long")
+    cells = {(r["i"], r["j"]): r["north"] for r in E.generate_grid(points, "x", "y", 4.0, 4.0).collect()}
+    assert set(cells) == {(i, j) for i in range(4) for j in range(141)} and cells[3, 140] == 562.0
