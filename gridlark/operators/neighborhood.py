@@ -52,11 +52,19 @@ def box_stats(grid: DataFrame, radius: int, v: str = "v", by: By = (), holes: bo
 
 
 def reduce_kernel(grid: DataFrame, kernel: Kernel, aggregates: dict[str, Column], by: By = ()) -> DataFrame:
-    """by, y, x and aggregates of columns nv (a neighbour's value) and w (its weight) over the kernel's cells."""
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in kernel])
-    dealt = grid.select(*by, "y", "x", "v", F.explode(offsets).alias("k")).select(*by, (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), F.col("v").alias("nv"), F.col("k.w").alias("w"))
-    reduced = dealt.groupBy(*by, "y", "x").agg(*[c.alias(n) for n, c in aggregates.items()])
-    return reduced.join(grid.select(*by, "y", "x"), [*by, "y", "x"], "left_semi")
+    """by, y, x and aggregates of columns nv (a neighbour's value) and w (its weight) over the kernel's cells; they skip NULL.
+
+    The cells of the input are told by the row that each deals to itself (of no weight, if the kernel lacks its middle), so
+    the grid is read once however many of these follow each other."""
+    middle = any(dx == 0 and dy == 0 for dx, dy, _ in kernel)
+    places = [(dx, dy, F.lit(float(w)), dx == 0 and dy == 0) for dx, dy, w in kernel] + ([] if middle else [(0, 0, F.lit(None).cast("double"), True)])
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), w.alias("w"), F.lit(own).alias("own")) for dx, dy, w, own in places])
+    placed = grid.dropna(subset=[*by, "y", "x"])
+    nv = F.col("v") if middle else F.when(F.col("k.w").isNotNull(), F.col("v"))
+    dealt = placed.select(*by, "y", "x", "v", F.explode(offsets).alias("k")).select(*by, (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), nv.alias("nv"), F.col("k.w").alias("w"), F.col("k.own").alias("_own"))
+    named = {f"_{n}": c for n, c in aggregates.items()}
+    reduced = dealt.groupBy(*by, "y", "x").agg(*[c.alias(n) for n, c in named.items()], F.max("_own").alias("_own"), F.count("w").alias("_w"))
+    return reduced.where("_own AND _w > 0").select(*by, "y", "x", *[F.col(n).alias(n[1:]) for n in named])
 
 
 def convolve(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:

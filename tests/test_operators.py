@@ -231,3 +231,32 @@ def test_grid_covers_bounds_of_any_width(spark):
     points = spark.createDataFrame([(0, 0), (15, 562)], "x long, y long")
     cells = {(r["i"], r["j"]): r["north"] for r in E.generate_grid(points, "x", "y", 4.0, 4.0).collect()}
     assert set(cells) == {(i, j) for i in range(4) for j in range(141)} and cells[3, 140] == 562.0
+
+
+def test_chains_of_kernels_read_the_grid_once(spark):
+    """Each operator of a chain once read its input twice, so plans and memory doubled with every one."""
+    import contextlib
+    import io
+
+    rows = [[(y * 5 + x * 3) % 7 % 2 for x in range(6)] for y in range(6)]
+    rows[2][3] = None
+    g = grid(spark, rows).where("NOT (y = 4 AND x = 1)")
+    out, said = N.morph_adjust(g, square(1), square(1)), io.StringIO()
+    with contextlib.redirect_stdout(said):
+        out.explain("simple")
+    assert said.getvalue().split("== Initial Plan ==")[-1].count("Generate explode") <= 6
+
+    def plain(v, how):
+        near = {c: [v[c[0] + dy, c[1] + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if v.get((c[0] + dy, c[1] + dx)) is not None] for c in v}
+        return {c: how(n) if n else None for c, n in near.items()}
+
+    v = values(g)
+    s = plain(plain(plain(plain(v, max), min), min), max)
+    both = {c: None if v[c] is None and s[c] != 0 else int(bool(v[c]) and bool(s[c])) for c in v}
+    assert values(out) == plain(plain(both, max), min)
+
+
+def test_kernels_without_their_middle(spark):
+    g = grid(spark, [[1, 2, None], [4, None, 6]]).union(spark.createDataFrame([(9, 9, 5.0)], "y long, x long, v double"))
+    left = N.reduce_kernel(g, [(-1, 0, 2.0)], {"v": F.sum(F.col("nv") * F.col("w")), "n": F.count("w")})
+    assert {(r["y"], r["x"]): (r["v"], r["n"]) for r in left.collect()} == {(0, 1): (2.0, 1), (0, 2): (4.0, 1), (1, 1): (8.0, 1), (1, 2): (None, 1)}
