@@ -260,3 +260,11 @@ def test_kernels_without_their_middle(spark):
     g = grid(spark, [[1, 2, None], [4, None, 6]]).union(spark.createDataFrame([(9, 9, 5.0)], "y long, x long, v double"))
     left = N.reduce_kernel(g, [(-1, 0, 2.0)], {"v": F.sum(F.col("nv") * F.col("w")), "n": F.count("w")})
     assert {(r["y"], r["x"]): (r["v"], r["n"]) for r in left.collect()} == {(0, 1): (2.0, 1), (0, 2): (4.0, 1), (1, 1): (8.0, 1), (1, 2): (None, 1)}
+
+
+def test_the_plan_of_the_voted_map_stays_small(spark, capsys):
+    from gridlark.plans import chains
+
+    chains.voted_map(spark, "/root/testdata/sf0.001").explain("simple")
+    said = capsys.readouterr().out
+    assert said.count("SortMergeJoin") + said.count("BroadcastHashJoin") <= 1
