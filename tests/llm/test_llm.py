@@ -485,3 +485,24 @@ def test_shards_follow_the_splitters(spark):
     for r in rows:
         ranges.setdefault(r["range_id"], set()).add(r["shard"])
     assert sum(len(s) > 1 for s in ranges.values()) <= 1 and len(ranges) > 30
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """2,000 rows of each label were the most that counted; results do not depend on how rows are dealt."""
+    texts = [words(6, i, 50) + (" vile" if i % 2 else "") for i in range(5200)]
+    docs = docs_of(spark, texts)
+    labels = labels_of(spark, [(i, 1, i % 2) for i in range(5200)])
+    kept = [i for i in range(5200) if zlib.crc32(str(i).encode()) % toxicity.FOLDS]
+    assert all(sum(i % 2 == v for i in kept) > 2000 for v in (0, 1))
+    assert toxicity.labelled(docs, labels).count() == len(kept)
+    a, b = (toxicity.fit(d, labels, rows_each=1500) for d in (docs, docs.repartition(7)))
+    assert np.allclose(a.logits(texts[:50]), b.logits(texts[:50]), atol=1e-3)
+    held = [i for i in range(5200) if i not in set(kept)]
+    assert ((a.logits([texts[i] for i in held]) > 0) == np.array(held) % 2).mean() > 0.95
+
+
+def test_toxicity_scores_a_text_alone():
+    """The windows at a text's end once reached into the text after it in its batch."""
+    m = toxicity.train([words(8, i, 30) + (" vile" if i % 2 else "") for i in range(200)], np.arange(200) % 2)
+    texts = [words(5, i, 30) + " vile" * (i % 3) for i in range(30)] + ["", "vile"]
+    assert np.allclose(m.logits(texts), [m.logits([t])[0] for t in texts], atol=1e-4)
