@@ -452,6 +452,54 @@ def test_probabilities_leave_the_token_out(spark):
     assert after[1] == (same[("a", "b")] - 1) / (raw[0] - 1) and after[0] == (same[(None, "a")] - 1) / 3 and after[-1] == (same[("b", "END")] - 1) / (raw[-2] - 1)
 
 
+def test_counters_along_a_text_equal_plain_ones():
+    r = np.random.default_rng(2)
+    hashes, text, data = r.integers(0, 6, 500).astype(np.uint64), r.integers(0, 3, 500), r.integers(0, 4, 500).astype(np.uint8) * 65
+    along, seen = context_mixing.Along(hashes, text), Counter()
+    got = []
+    for bit in range(8):
+        zero, one = np.zeros(500, np.float32), np.zeros(500, np.float32)
+        along.add(zero, one, (data >> (7 - bit)) & 1)
+        got.append((zero, one))
+    for i in range(500):
+        for bit in range(8):
+            key = (hashes[i], text[i], bit, data[i] >> (8 - bit))
+            assert (got[bit][0][i], got[bit][1][i]) == (seen[key, 0], seen[key, 1])
+            seen[key, data[i] >> (7 - bit) & 1] += 1
+
+
+def test_counters_belong_to_one_context():
+    c = context_mixing.Counters()
+    at = np.arange(context_mixing.K)[:, None]
+
+    def count(check, bits):
+        for y in bits:
+            zero, one, mine = c.read(at, check := np.full_like(at, check, np.uint16))
+            c.update(at, check, np.array([y]), zero + one, mine)
+        zero, one, mine = c.read(at, check)
+        return (zero[0, 0], one[0, 0]) if mine.all() else None
+
+    assert count(7, [0]) == (1, 0) and count(8, [1, 1, 0]) == (1, 2)  # seen once, it gives way
+    assert count(7, [0, 0]) is None and count(8, []) == (1, 2)
+    zero, one = count(8, [1] * 3000)
+    assert zero + one < context_mixing.LIMIT + 2 and zero < 0.2  # what is old fades
+
+
+def test_spelling_goes_on_along_a_text(spark):
+    """New words like the ones before them in their text cost less, and a training text's own words count as new."""
+    r = np.random.default_rng(4)
+    letters = lambda n: "".join(r.choice(list("abcdefghijklmnop"), n))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [" ".join(letters(8) for _ in range(12)) for _ in range(400)]
+    for i in held[:10]:
+        stem = letters(7)
+        texts[i] = " ".join(stem + x for x in "abcdefghijkl")
+    per = {x["doc_id"]: x["score"] / x["n_tokens"] for x in context_mixing.score(docs_of(spark, texts)).collect()}
+    new = np.mean([per[i] for i in held[10:]])
+    assert np.mean([per[i] for i in held[:10]]) > new + 1
+    assert abs(np.mean([per[i] for i in range(400) if i not in held]) - new) < 0.2
+
+
 def test_long_texts(spark):
     """Texts beyond a piece, a chunk and a batch: what repeats across a piece's edge goes, and counts are those of whole texts."""
     big = words(90_000, 1, 30_000)
