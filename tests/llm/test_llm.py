@@ -498,6 +498,10 @@ def test_spelling_goes_on_along_a_text(spark):
     new = np.mean([per[i] for i in held[10:]])
     assert np.mean([per[i] for i in held[:10]]) > new + 1
     assert abs(np.mean([per[i] for i in range(400) if i not in held]) - new) < 0.2
+    untaught = docs_of(spark, texts).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    got = {x["doc_id"]: x for x in context_mixing.score(untaught).collect()}
+    assert sorted(got) == held and all(x["train_tokens"] == 0 for x in got.values())
+    assert min(got[i]["score"] for i in held[:10]) > max(got[i]["score"] for i in held[10:])
 
 
 def test_long_texts(spark):
