@@ -51,52 +51,55 @@ def box_stats(grid: DataFrame, radius: int, v: str = "v", by: By = (), holes: bo
     return out.drop("_n", "_s", "_q", "_c")
 
 
-def reduce_kernel(grid: DataFrame, kernel: Kernel, aggregates: dict[str, Column], by: By = ()) -> DataFrame:
+def reduce_kernel(grid: DataFrame, kernel: Kernel, aggregates: dict[str, Column], by: By = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """by, y, x and aggregates of columns nv (a neighbour's value) and w (its weight) over the kernel's cells; they skip NULL.
 
     The cells of the input are told by the row that each deals to itself (of no weight, if the kernel lacks its middle), so
-    the grid is read once however many of these follow each other."""
+    the grid is read once however many of these follow each other.  By that row each cell also keeps its columns ``keep``."""
     middle = any(dx == 0 and dy == 0 for dx, dy, _ in kernel)
     places = [(dx, dy, F.lit(float(w)), dx == 0 and dy == 0) for dx, dy, w in kernel] + ([] if middle else [(0, 0, F.lit(None).cast("double"), True)])
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), w.alias("w"), F.lit(own).alias("own")) for dx, dy, w, own in places])
     placed = grid.dropna(subset=[*by, "y", "x"])
     nv = F.col("v") if middle else F.when(F.col("k.w").isNotNull(), F.col("v"))
-    dealt = placed.select(*by, "y", "x", "v", F.explode(offsets).alias("k")).select(*by, (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), nv.alias("nv"), F.col("k.w").alias("w"), F.col("k.own").alias("_own"))
+    dealt = placed.select(*by, "y", "x", "v", *keep, F.explode(offsets).alias("k")).select(*by, (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), nv.alias("nv"), F.col("k.w").alias("w"), F.col("k.own").alias("_own"), *[F.when(F.col("k.own"), F.col(c)).alias(c) for c in keep])
     named = {f"_{n}": c for n, c in aggregates.items()}
-    reduced = dealt.groupBy(*by, "y", "x").agg(*[c.alias(n) for n, c in named.items()], F.max("_own").alias("_own"), F.count("w").alias("_w"))
-    return reduced.where("_own AND _w > 0").select(*by, "y", "x", *[F.col(n).alias(n[1:]) for n in named])
+    reduced = dealt.groupBy(*by, "y", "x").agg(*[c.alias(n) for n, c in named.items()], F.max("_own").alias("_own"), F.count("w").alias("_w"), *[F.max(c).alias(c) for c in keep])
+    return reduced.where("_own AND _w > 0").select(*by, "y", "x", *[F.col(n).alias(n[1:]) for n in named], *keep)
 
 
 def convolve(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
     return reduce_kernel(grid, kernel, {"v": F.sum(F.col("nv") * F.col("w"))}, by)
 
 
-def focal(grid: DataFrame, how: str, kernel: Kernel, by: By = ()) -> DataFrame:
+def focal(grid: DataFrame, how: str, kernel: Kernel, by: By = (), keep: tuple[str, ...] = ()) -> DataFrame:
     make = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "sum": F.sum}[how]
-    return reduce_kernel(grid, kernel, {"v": make("nv")}, by)
+    return reduce_kernel(grid, kernel, {"v": make("nv")}, by, keep)
 
 
-def erode(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
-    return focal(grid, "min", kernel, by)
+def erode(grid: DataFrame, kernel: Kernel, by: By = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    return focal(grid, "min", kernel, by, keep)
 
 
-def dilate(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
-    return focal(grid, "max", kernel, by)
+def dilate(grid: DataFrame, kernel: Kernel, by: By = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    return focal(grid, "max", kernel, by, keep)
 
 
-def opening(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
-    return dilate(erode(grid, kernel, by), kernel, by)
+def opening(grid: DataFrame, kernel: Kernel, by: By = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    return dilate(erode(grid, kernel, by, keep), kernel, by, keep)
 
 
-def closing(grid: DataFrame, kernel: Kernel, by: By = ()) -> DataFrame:
-    return erode(dilate(grid, kernel, by), kernel, by)
+def closing(grid: DataFrame, kernel: Kernel, by: By = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    return erode(dilate(grid, kernel, by, keep), kernel, by, keep)
 
 
 def morph_adjust(grid: DataFrame, first: Kernel, second: Kernel) -> DataFrame:
-    """Close, open, keep what the input has too, close again."""
-    smooth = opening(closing(grid, first), first).withColumnRenamed("v", "s")
-    both = grid.join(smooth, ["y", "x"]).select("y", "x", ((F.col("v") != 0) & (F.col("s") != 0)).cast("int").alias("v"))
-    return closing(both, second)
+    """Close, open, keep what the input has too, close again.
+
+    Cells keep their input through the chain, so nothing is joined: plans' estimates of a grid's size are too small by
+    far, and Spark would broadcast it."""
+    marked = grid.select("y", "x", "v", (F.col("v") != 0).alias("set"))
+    smooth = opening(closing(marked, first, keep=("set",)), first, keep=("set",))
+    return closing(smooth.select("y", "x", (F.col("set") & (F.col("v") != 0)).cast("int").alias("v")), second)
 
 
 def entropy(grid: DataFrame, kernel: Kernel, scale: int) -> DataFrame:

@@ -268,3 +268,19 @@ def test_the_plan_of_the_voted_map_stays_small(spark, capsys):
     chains.voted_map(spark, "/root/testdata/sf0.001").explain("simple")
     said = capsys.readouterr().out
     assert said.count("SortMergeJoin") + said.count("BroadcastHashJoin") <= 1
+
+
+def test_map_cleaning_joins_nothing(spark, capsys):
+    """What looks small to the plan was broadcast however many cells it had."""
+    from gridlark.plans import chains
+
+    chains.voted_map(spark, "/root/testdata/sf0.001").explain("simple")
+    N.morph_adjust(grid(spark, [[1, 0], [None, 1]]), square(1), square(1)).explain("simple")
+    said = capsys.readouterr().out
+    assert "Join" not in said and "Broadcast" not in said and said.count("Exchange") == 12
+
+
+def test_kernels_keep_columns_of_the_cell(spark):
+    g = grid(spark, [[1, 5, None], [4, None, 6]]).withColumn("own", F.col("y") * 10 + F.col("x"))
+    got = {(r["y"], r["x"]): (r["v"], r["own"]) for r in N.dilate(g, square(1), keep=("own",)).collect()}
+    assert got == {(y, x): (max(5, 6 * (x > 0)), 10 * y + x) for y in range(2) for x in range(3)}
