@@ -469,6 +469,14 @@ def test_counters_along_a_text_equal_plain_ones():
             seen[key, data[i] >> (7 - bit) & 1] += 1
 
 
+def test_texts_share_no_counters():
+    """A text's spelling costs the same whichever texts stand beside it, also where their numbers are bytes of each other."""
+    texts, numbers = [b"ab ac ad " * 5, b"eb ef eg " * 5, b"eb eb ef " * 5], [101, 97, 5]
+    cost = lambda w, text: context_mixing.Speller().log2(*context_mixing.contexts(w), context_mixing.Counters(), np.zeros(len(w), bool), text)
+    alone = [cost(w, np.full(len(w), i)) for w, i in zip(texts, numbers, strict=True)]
+    assert np.allclose(cost(b"".join(texts), np.repeat(numbers, [len(w) for w in texts])), np.concatenate(alone), rtol=0, atol=1e-9)
+
+
 def test_counters_belong_to_one_context():
     c = context_mixing.Counters()
     at = np.arange(context_mixing.K)[:, None]
