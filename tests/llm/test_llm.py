@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridlark.llm import context_mixing, decontamination, jaccard_join, line_quality, mixing, pii, sharding, suffix_dedup, token_rollup, toxicity
-from gridlark.llm.common import distinct_of
+from gridlark.llm.common import distinct_of, grouped
 from gridlark.llm.graph import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h string"
@@ -577,6 +577,13 @@ def test_cells_of_the_speller_are_whole_logarithms():
     assert (conf[0] % context_mixing.CONF == conf[0] // context_mixing.CONF).all() and np.allclose(stretch[0], np.log((one + 0.05) / 0.05))
 
 
+def test_hashes_that_differ_in_their_last_bits():
+    h = np.array([5, 4, 5, 2**63, 4, 2**63 + 1, 2**63], np.uint64)
+    order, ordered, new = grouped(h)
+    assert order.tolist() == [1, 4, 0, 2, 3, 6, 5] and (ordered == h[order]).all()
+    assert np.flatnonzero(new).tolist() == [0, 2, 4, 6]
+
+
 def test_distinct_hashes():
     h = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
     keys, place, which = distinct_of(h)
