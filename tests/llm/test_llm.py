@@ -577,6 +577,23 @@ def test_cells_of_the_speller_are_whole_logarithms():
     assert (conf[0] % context_mixing.CONF == conf[0] // context_mixing.CONF).all() and np.allclose(stretch[0], np.log((one + 0.05) / 0.05))
 
 
+def test_spelling_is_scored_as_it_is_learned():
+    """The predictors that are added one after another give what learning adds at once."""
+    speller, counters = context_mixing.Speller(), context_mixing.Counters()
+    for i in range(3):
+        speller.learn(*context_mixing.contexts((words(400, i, 300) + " ").encode()), counters)
+    data, hashes = context_mixing.contexts((words(60, 9, 300) + " new ").encode())
+    got = speller.log2(data, hashes, counters, np.zeros(len(data), bool), np.arange(len(data)))  # no byte has any before it
+    grid, want = np.linspace(-context_mixing.STRETCH_MAX, context_mixing.STRETCH_MAX, context_mixing.MAP), np.zeros(len(data))
+    for bit in range(8):
+        zero, one, mine = counters.read(*context_mixing.slots(hashes, data, bit))
+        z = speller.mixed(*speller.inputs(zero * mine, one * mine), bit)
+        refined = (speller.hits[1, bit] + 8 / (1 + np.exp(-grid))) / (speller.hits.sum(axis=0)[bit] + 8)
+        p = (1 / (1 + np.exp(-z)) + np.interp(z, grid, refined)) / 2
+        want += np.log2(np.where(data >> (7 - bit) & 1, p, 1 - p))
+    assert np.allclose(got, want, rtol=0, atol=1e-9) and want.sum() > -4 * len(data)
+
+
 def test_hashes_that_differ_in_their_last_bits():
     h = np.array([5, 4, 5, 2**63, 4, 2**63 + 1, 2**63], np.uint64)
     order, ordered, new = grouped(h)
