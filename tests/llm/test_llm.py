@@ -159,6 +159,16 @@ def test_repeats_are_removed(spark, hot):
         assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
+def test_bytes_decide_what_is_repeated_not_words(spark):
+    """A passage of over 50 words stays if it has 399 bytes, and goes if it has 400."""
+    texts = []
+    for n in (399, 400):
+        passage = words(90, n, 1000)[:n]
+        assert len(passage) == n and len(passage.split()) > 50
+        texts += [f"{a * 50}({passage}){b * 50}".replace("(", x).replace(")", y) for a, b, x, y in (("a", "b", "<", ">"), ("c", "d", "[", "]"))]
+    assert [r["n_removed"] for r in suffix_dedup.remove_repeats(docs_of(spark, texts)).orderBy("doc_id").collect()] == [0, 0, 400, 400]
+
+
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_keys_beyond_an_array_are_split(spark, monkeypatch, hot):
     """Many texts share a passage in different surroundings, more than an array may hold of one key."""
